@@ -12,7 +12,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblattice.llm.words import WORD, words
+from weblattice.llm.words import WORD, plain, words
 from weblattice.sources.tables import table
 
 RUN = 13
@@ -60,7 +60,7 @@ class Items:
         done += [(item, *x) for item, x in open_.items()]
         if not done:
             return []
-        at = [m.span() for m in WORD.finditer(text)]
+        at = [m.span() for m in WORD.finditer(plain(text))]
         return sorted((item, at[i][0], at[j][1]) for item, i, j in done)
 
 
