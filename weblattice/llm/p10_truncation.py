@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from weblattice.llm.p6_lines import BIN, MAX_BIN, g_squared, minus_log10_p
+from weblattice.llm.significance import g_squared, significant_from
 from weblattice.sources.tables import table
 
 FDR = 0.001
@@ -71,21 +71,21 @@ def endings(docs: DataFrame) -> DataFrame:
 def limits(ends: DataFrame, fdr: float = FDR) -> DataFrame:
     """(source, unit, size, n, g2): lengths at which a source's texts end significantly more often than at the neighbouring ones.
 
-    unit is ``chars`` or ``bytes``. Null sources count as one source.
+    unit is ``chars`` or ``bytes``. Null sources count as one source, copies of a text as one text.
     """
-    sizes = ends.select(F.coalesce("source", F.lit("")).alias("source"), F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("x")).groupBy("source", F.col("x.unit").alias("unit"), F.col("x.size").alias("size")).agg(F.count("*").alias("n"))
+    texts = ends.select(F.coalesce("source", F.lit("")).alias("source"), "chars", "bytes", "same").distinct()
+    sizes = texts.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("x")).groupBy("source", F.col("x.unit").alias("unit"), F.col("x.size").alias("size")).agg(F.count("*").alias("n"))
     of = Window.partitionBy("source", "unit").orderBy("size")
     near = [of.rangeBetween(-FAR, -NEAR), of.rangeBetween(NEAR, FAR)]
     h = sizes.withColumn("at_risk", F.sum("n").over(Window.partitionBy("source", "unit").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)))
     # survivors at each neighbouring length are near enough those at this one: 2 (FAR - NEAR + 1) trials for each
     h = h.withColumn("n_near", sum((F.coalesce(F.sum("n").over(w), F.lit(0)) for w in near), F.lit(0)))
     h = h.withColumn("risk_near", F.greatest(F.col("at_risk"), F.lit(1)) * (2 * (FAR - NEAR + 1)) + F.col("n_near"))
-    scored = h.withColumn("g2", g_squared(F.col("n"), F.col("at_risk"), F.col("n_near"), F.col("risk_near"))).withColumn("bin", F.least(F.floor(minus_log10_p(F.col("g2")) / BIN), F.lit(MAX_BIN)).cast("int"))
+    scored = h.withColumn("g2", g_squared(F.col("n"), F.col("at_risk"), F.col("n_near"), F.col("risk_near")))
     m = scored.agg(F.count("*")).scalar()
-    bins = scored.groupBy("bin").agg(F.count("*").alias("k")).withColumn("above", F.sum("k").over(Window.orderBy(F.desc("bin"))))
-    cut_bin = bins.where(F.pow(F.lit(10.0), -F.col("bin") * BIN) <= F.col("above") / m * fdr).agg(F.coalesce(F.min("bin"), F.lit(MAX_BIN + 1))).scalar()
+    least = significant_from(scored, m, fdr)
     ratio = (F.col("n") / F.col("at_risk")) / ((F.col("n_near") + 0.5) / F.col("risk_near"))
-    return scored.where((F.col("bin") >= cut_bin) & (F.col("n") >= MIN_TEXTS) & (ratio >= MIN_RATIO)).select("source", "unit", "size", "n", "g2")
+    return scored.where((F.col("g2") >= least) & (F.col("n") >= MIN_TEXTS) & (ratio >= MIN_RATIO)).select("source", "unit", "size", "n", "g2")
 
 
 def truncated(docs: DataFrame) -> DataFrame:
