@@ -1,4 +1,4 @@
-"""How numbers, times and addresses are shown."""
+"""How numbers, times and addresses are shown; halves are rounded up."""
 
 from __future__ import annotations
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weblattice.plans import explore, explore_queries
+from weblattice.plans import explore, explore_queries, relational
 from weblattice.plans.crawl import Crawl
+from weblattice.streaming import queries as streaming
 
-_MODULES = (explore_queries,)
+_MODULES = (explore_queries, relational, streaming)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
