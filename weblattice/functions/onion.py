@@ -7,7 +7,7 @@ import binascii
 import hashlib
 import posixpath
 import re
-from urllib.parse import parse_qsl, quote_plus, urljoin, urlsplit, urlunsplit
+from urllib.parse import parse_qsl, quote, quote_plus, unquote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -17,6 +17,8 @@ ADDRESS = r"^[a-z2-7]{56}$"
 #: Query parameters that only name a session or a campaign.
 SESSION_PARAMS = frozenset(("sid", "sessionid", "session_id", "phpsessid", "jsessionid", "aspsessionid", "fbclid", "gclid", "ref"))
 CAMPAIGN_PREFIX = "utm_"
+#: Fixed value: what stays unescaped in a path besides letters and digits.
+_PATH_SAFE = "/$&+,:;=@-_.~!*'()"
 DEFAULT_PORTS = {"http": 80, "https": 443}
 
 
@@ -75,14 +77,14 @@ def canonical_url(raw: str | None, base: str | None = None) -> str | None:
         host = f"[{host}]"
     if u.port is not None and u.port != DEFAULT_PORTS[u.scheme]:
         host += f":{u.port}"
-    path = u.path or "/"
+    path = unquote(u.path) or "/"
     clean = posixpath.normpath(path)
     clean = "/" + clean.lstrip("/") if path.startswith("/") else clean
     if path.endswith("/") and clean != "/":
         clean += "/"
     kept = [(k, v) for k, v in parse_qsl(u.query, keep_blank_values=True) if k.lower() not in SESSION_PARAMS and not k.lower().startswith(CAMPAIGN_PREFIX)]
     query = "&".join(f"{quote_plus(k)}={quote_plus(v)}" for k, v in sorted(kept))
-    return urlunsplit((u.scheme, host, clean, query, ""))
+    return urlunsplit((u.scheme, host, quote(clean, safe=_PATH_SAFE), query, ""))
 
 
 def canonical(raw: str | None, base: str | None = None) -> tuple[str, str] | None:

@@ -26,8 +26,8 @@ def plain(text: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    """Longest runs of letters or decimal digits, lower-cased."""
-    text = plain(text)
+    """Longest runs of letters or decimal digits, each letter lower-cased by itself."""
+    text = plain(text).replace("Σ", "σ")  # else a last one would become another letter
     if "İ" in text:  # its lower case has a mark, which would part the word
         return [w.lower() for w in WORD.findall(text)]
     return WORD.findall(text.lower())
