@@ -58,7 +58,7 @@ def codewords(classes: int, bits: int = BITS) -> np.ndarray:
         d = (code[:, None, :] != code[None, :, :]).sum(2) + np.eye(classes, dtype=int) * bits
         if d.min() > far:
             best, far = code, d.min()
-    return np.ones((classes, bits), int) if best is None else best
+    return np.ones((classes, bits), int) if best is None else best  # fewer than two classes
 
 
 def ngram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +144,10 @@ def _pieces(text: str) -> list[list[str]]:
 
 def fit(samples: list[tuple[str, str]]) -> Classifier:
     """samples: (language, text). Languages are those that occur."""
-    languages = sorted({lang for lang, _ in samples})
+    languages = sorted({lang for lang, text in samples if _pieces(text)})
     code = codewords(len(languages))
+    if not languages:  # nothing to tell apart: no line has a language
+        return Classifier([], code, np.zeros((BUCKETS, BITS)), np.ones(BITS))
     rows = [(languages.index(lang), w) for lang, text in samples for w in _pieces(text)]
     y = code[[k for k, _ in rows]].astype(np.float64)
     x = np.zeros((len(rows), BUCKETS), np.float32)
@@ -208,7 +210,7 @@ def _segments(classifier: Classifier, texts: list[str]) -> list[list[tuple[int,
                 lines.append(w)
                 where.append((k, i))
     out: list[list] = [[] for _ in texts]
-    if not lines:
+    if not lines or not classifier.languages:
         return out
     best, sure = classifier.lines(lines)
     for (k, i), b, p, w in zip(where, best.tolist(), sure.tolist(), lines):

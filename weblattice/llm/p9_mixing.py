@@ -135,7 +135,7 @@ def plan(spark: SparkSession, d: str, total: float | None = None, vocabulary: st
     driver, one row each. Sources without documents stay in the tree with nothing to give; target rows with null
     sources or shares are left out.
     """
-    targets = table(spark, d, "mix_targets").dropna()
+    targets = table(spark, d, "mix_targets", "source", "target_share", "max_repeats").dropna()
     docs = table(spark, d, "documents", "doc_id", "source", "lang", "text").join(targets.select("source"), "source", "left_semi")
     counts = cut(token_counts(docs, vocabulary))
     by_lang = counts.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens"))
