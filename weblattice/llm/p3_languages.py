@@ -145,9 +145,9 @@ def _pieces(text: str) -> list[list[str]]:
 def fit(samples: list[tuple[str, str]]) -> Classifier:
     """samples: (language, text). Languages are those that occur."""
     languages = sorted({lang for lang, text in samples if _pieces(text)})
-    code = codewords(len(languages))
     if not languages:  # nothing to tell apart: no line has a language
-        return Classifier([], code, np.zeros((BUCKETS, BITS)), np.ones(BITS))
+        return Classifier([], np.ones((0, BITS), int), np.zeros((BUCKETS, BITS)), np.ones(BITS))
+    code = codewords(len(languages))
     rows = [(languages.index(lang), w) for lang, text in samples for w in _pieces(text)]
     y = code[[k for k, _ in rows]].astype(np.float64)
     x = np.zeros((len(rows), BUCKETS), np.float32)

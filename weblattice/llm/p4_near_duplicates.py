@@ -3,8 +3,9 @@
 Each text gets a signature of COORDINATES coordinates, each of which combines JOINED minima of
 permuted shingle hashes. Texts are posted under (coordinate, value); the self-join of the postings
 counts collisions per pair, pairs with MATCHES or more are candidates, and these are verified on their exact
-shingle sets. As each text drops its most frequent postings before (MATCHES - 1 of them at most, so
-that a pair with MATCHES collisions always keeps one), long lists are skipped and merged only in the count.
+shingle sets. Equal texts are posted once. Single minima won't do: phrases that half of all texts have give lists so long
+that their joins grow with the square of the corpus; three joined minima make such lists short, and as a prefix of all but
+MATCHES - 1 postings would save one in 24, all are joined and counted.
 """
 
 from __future__ import annotations
