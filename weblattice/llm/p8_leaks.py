@@ -6,6 +6,7 @@ pattern) is built on each worker from the broadcast items and passes once over e
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -89,10 +90,10 @@ def leaks(docs: DataFrame, items: DataFrame, spans: bool = False) -> DataFrame:
     schema = "doc_id long, item_id long, start int, stop int" if spans else "doc_id long, item_id long"
     out = None
     for block in blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, token = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def scan(batches, shared=shared):
-            found = _automaton(shared.id if hasattr(shared, "id") else id(shared), shared.value)
+        def scan(batches, shared=shared, token=token):
+            found = _automaton(token, shared.value)
             for batch in batches:
                 cols: list[list] = [[], [], [], []]
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
