@@ -157,11 +157,11 @@ def shared(c: Crawl, id_: int) -> DataFrame:
     return c.sites.join(x, "id").select(*site_columns(c.sites), "n", "kinds").orderBy(F.desc("n"), "id").limit(50)
 
 
-def similar(c: Crawl, id_: int) -> DataFrame:
-    """Sites whose home page's hash differs in at most 6 bits; mine is the hash of the first home page, a scalar subquery."""
+def similar(c: Crawl, id_: int, distance: int = 6) -> DataFrame:
+    """Sites whose home page's hash differs in at most ``distance`` bits; mine is the hash of the first home page, a scalar subquery."""
     homes = graph.home_pages(c.pages, c.versions)
     mine = homes.where(F.col("id") == id_).agg(F.min_by("simhash", "page_id")).scalar()
-    near = homes.where((F.col("id") != id_) & (F.col("chars") >= graph.HOME_CHARS)).withColumn("distance", hamming(F.col("simhash"), mine)).where("distance <= 6")
+    near = homes.where((F.col("id") != id_) & (F.col("chars") >= graph.HOME_CHARS)).withColumn("distance", hamming(F.col("simhash"), mine)).where(F.col("distance") <= distance)
     return c.sites.join(near.select("id", "distance"), "id").select(*site_columns(c.sites), "distance").orderBy("distance", "id").limit(50)
 
 

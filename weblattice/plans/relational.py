@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weblattice.functions import display, entities as ent, fetching, hashing, html, onion, terms
-from weblattice.operators import metrics, predicates as pr, search, state
+from weblattice.operators import graph, metrics, predicates as pr, search, state
 from weblattice.plans import explore as x
 from weblattice.plans.crawl import AS_OF, EDGES, Crawl, truncated
+from weblattice.session import cut
 from weblattice.sources import lists, snapshots
 
 _BLOCKED = "substr(md5(onion), 1, 1) IN ('0', '1')"
@@ -109,6 +110,23 @@ b AS (SELECT site_id, first_seen, ok[1] AS ok_ts, last[1] AS ts, last[2] AS outc
 SELECT site_id AS id, CASE WHEN up THEN 'up' WHEN outcome = 'auth_required' THEN 'auth_gated' WHEN old THEN 'dead' WHEN outcome = 'desc_not_found' THEN 'down' ELSE 'flaky' END AS status,
 CAST(CASE WHEN up THEN 0 ELSE fails END AS INTEGER) AS consecutive_failures, ts AS last_seen, ok_ts AS last_ok,
 ts + CASE WHEN up THEN INTERVAL 24 HOUR WHEN outcome = 'auth_required' OR old THEN INTERVAL 30 DAY WHEN outcome = 'desc_not_found' THEN to_seconds(least(3600 * pow(2, least(fails - 1, 8)), 604800)) ELSE INTERVAL 6 HOUR END AS next_check_at FROM b"""
+_LAST_DAY = "WHERE date_trunc('minute', ts) > (SELECT max(date_trunc('minute', ts)) FROM fetch_log) - INTERVAL 24 HOUR"
+#: Rates over five minutes of counters with a sample per minute; a series' first sample has no increase.
+_RATES = """m AS (SELECT date_trunc('minute', ts) AS ts, coalesce(outcome, '') AS outcome, coalesce(proxy, '') AS proxy, count(*) AS n FROM fetch_log {where} GROUP BY 1, 2, 3),
+i AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY outcome, proxy ORDER BY ts) = 1 THEN 0 ELSE n END AS inc, CAST(epoch(ts) AS BIGINT) AS sec FROM m),
+r AS (SELECT *, sum(inc) OVER (PARTITION BY outcome, proxy ORDER BY sec RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) / 300.0 AS rate FROM i)"""
+_QUANTILE = f"""WITH b AS (SELECT unnest({[0.0, *metrics.BUCKETS]}) AS lo, unnest({[*metrics.BUCKETS, 1e300]}) AS hi),
+n AS (SELECT coalesce(outcome, '') AS outcome, lo, hi, count(*) FILTER (WHERE latency_ms / 1000.0 <= hi) AS cum, count(*) FILTER (WHERE latency_ms / 1000.0 <= lo) AS below, count(*) AS total FROM fetch_log CROSS JOIN b WHERE latency_ms IS NOT NULL GROUP BY 1, 2, 3),
+f AS (SELECT *, CASE WHEN lo = 0 THEN 0 ELSE below END AS under, row_number() OVER (PARTITION BY outcome ORDER BY hi) AS rn FROM n WHERE cum >= 0.9 * total)
+SELECT outcome, round(CASE WHEN hi > 1e299 THEN lo ELSE lo + (hi - lo) * (0.9 * total - under) / (cum - under) END, 9) AS value FROM f WHERE rn = 1"""
+_BM25 = r"""WITH d AS (SELECT p.id AS page_id, v.title, v.text FROM pages p JOIN page_versions v ON v.id = p.current_version_id),
+w AS (SELECT page_id, 'title' AS field, 3.0 AS boost, regexp_extract_all(lower(title), '[\p{L}\p{Nd}]+') AS ws FROM d UNION ALL SELECT page_id, 'text', 1.0, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') FROM d),
+l AS (SELECT *, len(ws) AS length FROM w WHERE len(ws) > 0), st AS (SELECT field, count(*) AS n, avg(length) AS mean FROM l GROUP BY 1),
+h AS (SELECT page_id, field, boost, length, t.term, len(list_filter(ws, lambda x: x = t.term)) AS tf FROM l CROSS JOIN (VALUES ('mirror'), ('archive')) t(term) WHERE list_contains(ws, t.term)),
+df AS (SELECT field, term, count(*) AS df FROM h GROUP BY 1, 2),
+s AS (SELECT page_id, field, sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM h JOIN df USING (field, term) JOIN st USING (field) GROUP BY 1, 2),
+b AS (SELECT page_id, round(max(score), 6) AS score FROM s GROUP BY 1)
+SELECT page_id, score, (SELECT count(*) FROM b) AS total FROM b ORDER BY score DESC, page_id LIMIT 25"""
 _COUNTED = "n AS (SELECT date_trunc('hour', ts) AS t, outcome, count(*) AS n FROM fetch_log WHERE ts > (SELECT max(ts) FROM fetch_log) - INTERVAL 3 DAY GROUP BY 1, 2)"
 
 _ALL = {
@@ -232,11 +250,23 @@ UNION ALL SELECT id, 'eth', lower(unnest(regexp_extract_all(text, '\b0x[a-fA-F0-
     # search and metrics
     "q_search": (lambda c: _searched(c), None),
     "st_index_terms": (lambda c: search.inverted(search.documents(c.pages, c.versions)).groupBy("term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")), r"WITH d AS (SELECT p.id, v.title, v.text FROM pages p JOIN page_versions v ON v.id = p.current_version_id), w AS (SELECT id, 'title' AS f, unnest(regexp_extract_all(lower(title), '[\p{L}\p{Nd}]+')) AS term FROM d UNION ALL SELECT id, 'text', unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) FROM d) SELECT term, count(DISTINCT (id, f)) AS n, count(*) AS tf FROM w GROUP BY 1"),
-    "q_prom_fetch_rate": (lambda c: _series(c, "fetch_rate", 24), None),
+    "q_search_scores": (lambda c: _searched(c).select("page_id", "score", "total"), _BM25),
+    "q_prom_fetch_rate": (lambda c: _series(c, "fetch_rate", 24), f"WITH {_RATES.format(where=_LAST_DAY)}, s AS (SELECT (sec // 288) * 288 AS t, outcome, proxy, avg(rate) AS rate FROM r GROUP BY 1, 2, 3) SELECT outcome AS name, t, round(sum(rate), 9) AS value FROM s GROUP BY 1, 2"),
     "q_prom_latency": (lambda c: _series(c, "latency", 24), None),
-    "a_hist_quantile": (lambda c: _quantiles(c), None),
-    "a_ratio": (lambda c: metrics.error_ratio(metrics.from_log(c.log), 3600).withColumn("value", F.round("value", 9)), None),
-    "a_rate": (lambda c: _rates(c), None),
+    "a_hist_quantile": (lambda c: _quantiles(c), _QUANTILE),
+    "a_ratio": (lambda c: metrics.error_ratio(metrics.from_log(c.log), 3600).withColumn("value", F.round("value", 9)), f"WITH {_RATES.format(where='')} SELECT (sec // 3600) * 3600 AS t, proxy, CASE WHEN sum(rate) > 0 THEN round(sum(CASE WHEN outcome <> 'ok' THEN rate ELSE 0 END) / sum(rate), 9) END AS value FROM r GROUP BY 1, 2"),
+    "a_rate": (lambda c: _rates(c), f"WITH {_RATES.format(where='')} SELECT ts, outcome, proxy, round(rate, 9) AS rate FROM r"),
+    "w_rolling_rate": (lambda c: _rates(c).where("rate > 0"), f"WITH {_RATES.format(where='')} SELECT ts, outcome, proxy, round(rate, 9) AS rate FROM r WHERE round(rate, 9) > 0"),
+    # other names of the inventory
+    "j_cross_theta": (lambda c: x.similar(c, 1, 26), "WITH homes AS (SELECT p.site_id AS id, p.id AS page_id, v.simhash, length(v.text) AS chars FROM pages p JOIN page_versions v ON v.id = p.current_version_id WHERE p.depth = 0), me AS (SELECT simhash FROM homes WHERE id = 1 ORDER BY page_id LIMIT 1) SELECT s.id, s.onion, coalesce(s.title, '') AS title, s.status, bit_count(xor(h.simhash, me.simhash)) AS distance FROM me, homes h JOIN sites s ON s.id = h.id WHERE h.id <> 1 AND h.chars >= 200 AND bit_count(xor(h.simhash, me.simhash)) <= 26 ORDER BY distance, s.id LIMIT 50"),
+    "j_band": (lambda c: graph.simhash_pairs(c.versions.where("length(text) >= 200"), 2, bucket=None), "SELECT a.id AS a, b.id AS b FROM page_versions a JOIN page_versions b ON a.id < b.id AND length(a.text) >= 200 AND length(b.text) >= 200 AND bit_count(xor(a.simhash, b.simhash)) <= 2"),
+    "j_calendar_left": (lambda c: x.calendar(c, 2), f"""WITH u AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (WHERE outcome IN {_ALIVE}) AS up, count(*) AS total FROM fetch_log WHERE site_id = 2 AND ts > {AS_OF} - INTERVAL 90 DAY GROUP BY 1)
+SELECT CAST(g.day AS DATE) AS day, CASE WHEN total IS NULL THEN 'none' WHEN up = total THEN 'up' WHEN up = 0 THEN 'down' ELSE 'flaky' END AS colour FROM (SELECT unnest(generate_series(CAST({AS_OF} AS DATE)::TIMESTAMP - INTERVAL 89 DAY, CAST({AS_OF} AS DATE)::TIMESTAMP, INTERVAL 1 DAY)) AS day) g LEFT JOIN u ON u.day = CAST(g.day AS DATE)"""),
+    "o_topk_ring": (lambda c: graph.neighbourhood(c.edges, 2, 2, 30), f"""WITH {EDGES}, both_ AS (SELECT src_site_id AS x, dst_site_id AS id, n_links FROM edges UNION ALL SELECT dst_site_id, src_site_id, n_links FROM edges),
+r1 AS (SELECT id FROM both_ WHERE x = 2 AND id <> 2 GROUP BY 1 ORDER BY sum(n_links) DESC, id LIMIT 29), c1 AS (SELECT 2::BIGINT AS id UNION ALL SELECT id FROM r1),
+r2 AS (SELECT id, row_number() OVER (ORDER BY sum(n_links) DESC, id) AS pos FROM both_ WHERE x IN (SELECT id FROM r1) AND id NOT IN (SELECT id FROM c1) GROUP BY 1)
+SELECT 2::BIGINT AS id, 0 AS ring UNION ALL SELECT id, 1 FROM r1 UNION ALL SELECT id, 2 FROM r2 WHERE pos <= 30 - (SELECT count(*) FROM c1)"""),
+    "g_similar": (lambda c: x.similar(c, 3, 28), "WITH homes AS (SELECT p.site_id AS id, p.id AS page_id, v.simhash, length(v.text) AS chars FROM pages p JOIN page_versions v ON v.id = p.current_version_id WHERE p.depth = 0), me AS (SELECT simhash FROM homes WHERE id = 3 ORDER BY page_id LIMIT 1) SELECT s.id, s.onion, coalesce(s.title, '') AS title, s.status, bit_count(xor(h.simhash, me.simhash)) AS distance FROM me, homes h JOIN sites s ON s.id = h.id WHERE h.id <> 3 AND h.chars >= 200 AND bit_count(xor(h.simhash, me.simhash)) <= 28 ORDER BY distance, s.id LIMIT 50"),
     "a_sum_by": (lambda c: c.log.groupBy("proxy").agg(F.sum(F.col("bytes").cast("long")).alias("bytes")), "SELECT proxy, CAST(sum(bytes) AS BIGINT) AS bytes FROM fetch_log GROUP BY 1"),
 }
 
@@ -267,8 +297,9 @@ def _purged(c: Crawl) -> DataFrame:
 
 
 def _searched(c: Crawl) -> DataFrame:
+    """The index is a table that is read three times: written once to the shared folder here, kept by snk_bulk_index in a crawl."""
     docs = search.documents(c.pages, c.versions)
-    return search.search(search.inverted(docs), docs, " ".join(_WORDS))
+    return search.search(cut(search.inverted(docs)), docs, " ".join(_WORDS))
 
 
 def _series(c: Crawl, name: str, hours: int) -> DataFrame:
