@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weblattice.functions.hashing import hamming
 from weblattice.session import cut
+from weblattice.sources.snapshots import numbered
 
 DAMPING, ROUNDS = 0.85, 40
 #: Kinds that tell an operator, and the most sites that a value may be on.
 OPERATOR_KINDS, OPERATOR_SITES = ("pgp", "email"), (2, 18)
 #: Near-duplicate home pages: least length, largest distance, bands, and the largest bucket that is compared.
 HOME_CHARS, HOME_DISTANCE, BANDS, BUCKET = 200, 3, 4, 2000
+#: Members that are listed of a cluster, and parts in which large ones are ranked.
+LISTED, SALTS = 100, 64
 
 
 def site_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -105,14 +108,11 @@ def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> D
 
 
 def labels(roots: DataFrame, keep_single: bool) -> DataFrame:
-    """(id, label): groups numbered from 0 by falling size, equal sizes by their least vertex; singles have none unless kept.
-
-    The numbering sorts one row per group.
-    """
+    """(id, label): groups numbered from 0 by falling size, equal sizes by their least vertex; singles have none unless kept."""
     size = roots.groupBy("root").agg(F.count("*").alias("n"))
     if not keep_single:
         size = size.where("n > 1")
-    number = size.withColumn("label", F.row_number().over(Window.orderBy(F.desc("n"), "root")) - 1).select("root", "label")
+    number = numbered(size, "label", [F.desc("n"), F.asc("root")]).select("root", F.col("label").cast("int").alias("label"))
     return roots.join(number, "root", "left").select("id", "label")
 
 
@@ -187,13 +187,16 @@ def home_pages(pages: DataFrame, versions: DataFrame) -> DataFrame:
 def home_clusters(pages: DataFrame, versions: DataFrame, distance: int = HOME_DISTANCE) -> DataFrame:
     """(root, size, exact, ids) of home pages that are near one another; exact where their texts are all the same.
 
-    At most 100 page ids are listed, the least ones, taken by rank before they are gathered.
+    The sites of at most LISTED pages are listed, those of the least ids, taken by rank before they are gathered.
     """
     homes = cut(home_pages(pages, versions).where(F.col("chars") >= HOME_CHARS).select(F.col("page_id").alias("id"), F.col("id").alias("site_id"), "simhash", "text_hash"))
     roots = components(homes, simhash_pairs(homes.select("id", "simhash"), distance))
     full = homes.join(roots, "id")
     groups = full.groupBy("root").agg(F.count("*").alias("size"), (F.min("text_hash") == F.max("text_hash")).alias("exact")).where("size > 1")
-    listed = full.withColumn("at", F.row_number().over(Window.partitionBy("root").orderBy("id"))).where("at <= 100").groupBy("root").agg(F.array_sort(F.collect_list("site_id")).alias("ids"))
+    first = full.select("root", "id", "site_id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    for part in (["root", "salt"], ["root"]):  # a large group is cut down in parts before it is ranked as a whole
+        first = first.withColumn("at", F.row_number().over(Window.partitionBy(*part).orderBy("id"))).where(F.col("at") <= LISTED)
+    listed = first.groupBy("root").agg(F.array_sort(F.collect_list("site_id")).alias("ids"))
     return groups.join(listed, "root").select("root", "size", "exact", "ids")
 
 

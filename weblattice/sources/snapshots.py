@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weblattice.schema import TABLES
+from weblattice.session import cut
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -20,19 +21,29 @@ def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(key).join(old.select(*key), key, "left_anti"))
 
 
-def latest(rows: DataFrame, key: list[str], by: list) -> DataFrame:
-    """The last row of each key by an order."""
-    w = Window.partitionBy(*key).orderBy(*[F.desc(c) if isinstance(c, str) else c for c in by])
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def latest(rows: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """The last row of each key by an order, which should leave no ties; combined before the shuffle, so that a hot key is no burden."""
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), F.struct(*by)).alias("__row"))
+    return last.select("__row.*")
+
+
+def numbered(df: DataFrame, name: str, by: list) -> DataFrame:
+    """df with its rows numbered from 0 in an order that leaves no ties, without sorting them in one task.
+
+    Rows are sorted in ranges, which are kept in the shared folder so that they are the same when counted and when read; a row per range
+    gives the ranges' offsets.
+    """
+    parts = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
+    sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__m").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__p", (before - F.col("__first")).alias("__offset"))
+    return parts.join(F.broadcast(offsets), "__p").withColumn(name, F.col("__m") + F.col("__offset")).drop("__p", "__m", "__offset")
 
 
 def allocate(old: DataFrame, new: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """new with ids after the largest of old, in a stable order. The numbering runs over blocks: a count per range, then an offset each."""
+    """new with ids after the largest of old, in a stable order."""
     top = old.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
-    parts = new.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__m").alias("__first"))  # a row per partition
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return parts.join(F.broadcast(before), "__p").withColumn(key, top + F.col("__before") + F.col("__m") - F.col("__first") + 1).drop("__p", "__m", "__n", "__first", "__before")
+    return numbered(new, key, by).withColumn(key, F.col(key) + top + 1)
 
 
 def blobs(html: DataFrame) -> DataFrame:
