@@ -27,6 +27,8 @@ _HEAD_ONLY = frozenset("title base meta link style script noscript template".spl
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _ENDS_P = frozenset("div ul ol dl table form h1 h2 h3 h4 h5 h6 pre blockquote section article header footer nav aside main hr fieldset address p".split())
 ANCHOR_CHARS = 300
+#: Names that can't be read as markup themselves.
+_TAG_NAME, _ATTR_NAME = re.compile(r"[a-z][a-z0-9:_-]*"), re.compile(r"[^\s\"'<>/=\x00]+")
 
 
 def risky(value: str | None) -> bool:
@@ -62,6 +64,8 @@ class _Builder(HTMLParser):
             if tag not in VOID:
                 self.dropped, self.dropping = 1, tag
             return
+        if not _TAG_NAME.fullmatch(tag):
+            return
         if tag == "head":
             self.in_head = True
         elif self.in_head and tag not in _HEAD_ONLY:
@@ -71,7 +75,7 @@ class _Builder(HTMLParser):
         for other in _CLOSES.get(tag, ()):
             if self.open and self.open[-1] == other:
                 self._close(other)
-        kept = [(k.lower(), v) for k, v in attrs if k.lower() not in DROPPED_ATTRS and not k.lower().startswith("on") and not risky(v)]
+        kept = [(k.lower(), v) for k, v in attrs if _ATTR_NAME.fullmatch(k) and k.lower() not in DROPPED_ATTRS and not k.lower().startswith("on") and not risky(v)]
         given = dict(reversed(kept))
         self.html.append("<" + tag + "".join(f' {k}="{escape(v or "")}"' for k, v in kept) + ">")
         if tag in BLOCKS:

@@ -10,6 +10,7 @@ from weblattice.plans import explore as x
 from weblattice.plans.crawl import AS_OF, EDGES, Crawl, truncated
 from weblattice.session import cut
 from weblattice.sources import lists, snapshots
+from weblattice.sources.tables import spread
 
 _BLOCKED = "substr(md5(onion), 1, 1) IN ('0', '1')"
 _SHARED = "(SELECT DISTINCT kind, value, site_id FROM entities WHERE kind IN ('pgp', 'email'))"
@@ -50,7 +51,7 @@ def html_links(c: Crawl) -> DataFrame:
 
 
 def text_entities(c: Crawl) -> DataFrame:
-    return c.versions.select("id", F.explode(ent.text_entities(F.col("text"))).alias("e")).select("id", "e.kind", "e.value")
+    return spread(c.versions.select("id", "text")).select("id", F.explode(ent.text_entities(F.col("text"))).alias("e")).select("id", "e.kind", "e.value")
 
 
 def full_align(c: Crawl) -> DataFrame:
@@ -202,7 +203,7 @@ _ALL = {
     "f_sha256": (lambda c: c.versions.select("id", F.lower(F.hex(hashing.sha256(F.col("text")))).alias("h"), (hashing.sha256(F.col("text")) == F.col("text_hash")).alias("same")), "SELECT id, sha256(text) AS h, sha256(text) = hex(text_hash).lower() AS same FROM page_versions"),
     "f_url_hash": (lambda c: c.pages.select("id", F.lower(F.hex(hashing.url_hash(F.col("url")))).alias("h")), "SELECT id, left(sha256(url), 32) AS h FROM pages"),
     "f_fnv1a64": (lambda c: c.sites.select("id", hashing.fnv1a64("onion").alias("h")), "SELECT id, CAST(CASE WHEN u >= 9223372036854775808 THEN CAST(u AS HUGEINT) - 18446744073709551616 ELSE CAST(u AS HUGEINT) END AS BIGINT) AS h FROM (SELECT id, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(onion, ''), lambda c: ord(c)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS u FROM sites)"),
-    "f_simhash": (lambda c: c.versions.select("id", hashing.simhash("text").alias("simhash")), None),
+    "f_simhash": (lambda c: spread(c.versions.select("id", "text")).select("id", hashing.simhash("text").alias("simhash")), None),
     "f_hamming": (lambda c: c.versions.select("id", hashing.hamming(F.col("simhash"), F.lit(-1)).alias("bits")), "SELECT id, bit_count(xor(simhash, CAST(-1 AS BIGINT))) AS bits FROM page_versions"),
     "f_hex64": (lambda c: c.versions.select("id", hashing.hex64(F.col("simhash")).alias("h")), "SELECT id, lower(printf('%016x', simhash)) AS h FROM page_versions"),
     "f_valid_v3": (lambda c: c.sites.select("id", onion.valid_address("onion").alias("valid"), onion.valid_address(F.reverse("onion")).alias("reversed")), None),
@@ -216,7 +217,7 @@ SELECT DISTINCT id, kind, value FROM (SELECT id, 'btc' AS kind, unnest(regexp_ex
 UNION ALL SELECT id, 'btc', unnest(regexp_extract_all(text, '\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b')) FROM t UNION ALL SELECT id, 'xmr', unnest(regexp_extract_all(text, '\b[48][0-9AB][1-9A-HJ-NP-Za-km-z]{93}\b')) FROM t
 UNION ALL SELECT id, 'eth', lower(unnest(regexp_extract_all(text, '\b0x[a-fA-F0-9]{40}\b'))) FROM t UNION ALL SELECT id, 'email', lower(unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}\b'))) FROM t)"""),
     "f_filter_norm": (lambda c: c.sites.select("id", terms.folded("title").alias("folded")), None),
-    "f_filter_match": (lambda c: c.versions.where(terms.matches(c.spark, terms.Terms(_TERMS), F.col("title"), F.col("text"))).select("id"), f"WITH t AS (SELECT id, ' ' || {_FOLD.format('text')} || ' ' AS x, ' ' || {_FOLD.format('coalesce(title, chr(32))')} || ' ' AS y FROM page_versions WHERE text IS NOT NULL) SELECT id FROM t WHERE contains(x, ' second floor ') OR contains(y, ' second floor ') OR contains(x, ' old team ') OR contains(y, ' old team ') OR contains(replace(x, ' ', ''), 'lantern') OR contains(replace(y, ' ', ''), 'lantern')"),
+    "f_filter_match": (lambda c: spread(c.versions.select("id", "title", "text")).where(terms.matches(c.spark, terms.Terms(_TERMS), F.col("title"), F.col("text"))).select("id"), f"WITH t AS (SELECT id, ' ' || {_FOLD.format('text')} || ' ' AS x, ' ' || {_FOLD.format('coalesce(title, chr(32))')} || ' ' AS y FROM page_versions WHERE text IS NOT NULL) SELECT id FROM t WHERE contains(x, ' second floor ') OR contains(y, ' second floor ') OR contains(x, ' old team ') OR contains(y, ' old team ') OR contains(replace(x, ' ', ''), 'lantern') OR contains(replace(y, ' ', ''), 'lantern')"),
     "f_trunc": (lambda c: c.pages.select("id", F.left("url", F.lit(30)).alias("url")), "SELECT id, left(url, 30) AS url FROM pages"),
     "f_outcome": (lambda c: c.versions.select("id", fetching.outcome(F.col("http_status"), F.col("content_type"), F.octet_length("text"), F.lit("<html>"), F.lit(None).cast("string")).alias("outcome")), "SELECT id, CASE WHEN http_status < 200 OR http_status > 299 THEN 'http_error' WHEN coalesce(content_type, '') <> '' AND trim(lower(split_part(content_type, ';', 1))) NOT IN ('text/html', 'application/xhtml+xml') THEN 'content_type' WHEN strlen(text) > 2097152 THEN 'too_large' ELSE 'ok' END AS outcome FROM page_versions"),
     "f_socks_outcome": (lambda c: c.spark.range(256).select(F.col("id").alias("code"), fetching.socks_outcome(F.col("id")).alias("outcome")), "SELECT i AS code, CASE i " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in fetching.SOCKS_REPLIES.items()) + " ELSE 'socks_error' END AS outcome FROM range(256) t(i)"),

@@ -9,3 +9,12 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """One Parquet table; with columns given, only these are read."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over all cores: a table of fewer files than cores is dealt out, any other is left as it lies, without a shuffle.
+
+    For stages whose work is far dearer than moving their input once.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
