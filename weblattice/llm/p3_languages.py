@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from weblattice.llm.words import WORD
-from weblattice.sources.tables import table
+from weblattice.sources.tables import spread, table
 
 BITS, BUCKETS, NGRAMS, RIDGE = 15, 1 << 14, (1, 2, 3, 4), 0.02
 #: Labelled rows that the classifiers are fitted on, at most.
@@ -246,7 +246,7 @@ def _scan(spark: SparkSession, d: str, schema: str, make) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return table(spark, d, "documents", "doc_id", "lang", "text").mapInArrow(scan, schema)
+    return spread(table(spark, d, "documents", "doc_id", "lang", "text")).mapInArrow(scan, schema)
 
 
 def _found(label, stretches):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weblattice.llm.linking import hash_to_min
 from weblattice.llm.words import WordHashes, shingle_hashes, words
 from weblattice.session import cut
-from weblattice.sources.tables import table
+from weblattice.sources.tables import spread, table
 
 SHINGLE, THRESHOLD, MIN_CHARS = 3, 0.7, 200
 #: A pair at the threshold collides in a coordinate with probability 0.7 ** 3 = 0.34; fewer than 2 of 24 collisions happen in 6 of 10,000 such pairs.
@@ -76,7 +76,7 @@ def signed(versions: DataFrame) -> DataFrame:
     Null texts give no row. The table is small beside the texts (200 bytes a row) and is cut from its lineage, so that the texts are parsed once.
     """
     long = versions.where(F.length("text") >= MIN_CHARS).select("id", "page_id", "text")
-    return cut(long.mapInArrow(_sign, "id long, page_id long, same long, sig array<long>"))
+    return cut(spread(long).mapInArrow(_sign, "id long, page_id long, same long, sig array<long>"))
 
 
 def members(sig: DataFrame) -> DataFrame:

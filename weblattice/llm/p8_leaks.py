@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weblattice.llm.words import WORD, plain, words
-from weblattice.sources.tables import table
+from weblattice.sources.tables import spread, table
 
 RUN = 13
 #: Items are broadcast in blocks of at most so many characters; more items mean more passes, never a larger broadcast.
@@ -108,7 +108,7 @@ def leaks(docs: DataFrame, items: DataFrame, spans: bool = False) -> DataFrame:
                 arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())] + ([pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())] if spans else [])
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "start", "stop"][: len(arrays)])
 
-        part = docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(scan, schema)
+        part = spread(docs.where("text IS NOT NULL").select("doc_id", "text")).mapInArrow(scan, schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 

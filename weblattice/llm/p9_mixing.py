@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weblattice.llm.p3_languages import normal_label
 from weblattice.session import cut
-from weblattice.sources.tables import table
+from weblattice.sources.tables import spread, table
 
 #: Where the public tokenizers' files are; a parameter of token_counts.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -53,7 +53,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             n = [len(encode(t)) if t else 0 for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokens"])
 
-    return docs.select("doc_id", "source", "lang", "text").mapInArrow(count, "doc_id long, source string, lang string, tokens long")
+    return spread(docs.select("doc_id", "source", "lang", "text")).mapInArrow(count, "doc_id long, source string, lang string, tokens long")
 
 
 @dataclass
