@@ -11,20 +11,11 @@ from weblattice.functions.words import plain, words, WORD
 K1, B = 1.2, 0.75
 BOOST = {"title": 3.0, "text": 1.0}
 PAGE, MAX_FROM = 25, 9900
+#: Runs of letters and decimal digits.
+WORDS = r"[\p{L}\p{Nd}]+"
 FRAGMENTS, FRAGMENT_CHARS, OPEN, CLOSE = 2, 160, "\u0001", "\u0002"
 
 
-@pandas_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])))
-def _terms(s: pd.Series) -> pd.Series:
-    def count(t):
-        n: dict[str, int] = {}
-        for w in words(t or ""):
-            n[w] = n.get(w, 0) + 1
-        return [{"term": w, "tf": k} for w, k in n.items()]
-
-    return s.map(count)
-
-
 def documents(pages: DataFrame, versions: DataFrame) -> DataFrame:
     """(page_id, site_id, url, title, text) of the current versions."""
     v = versions.select(F.col("id").alias("current_version_id"), "title", "text")
@@ -32,10 +23,17 @@ def documents(pages: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def inverted(docs: DataFrame) -> DataFrame:
-    """(term, field, page_id, tf, length): the postings. Null fields have none."""
-    parts = [docs.where(F.col(f).isNotNull()).select("page_id", F.lit(f).alias("field"), _terms(f).alias("terms")) for f in BOOST]
-    each = parts[0].unionByName(parts[1])
-    return each.select("page_id", "field", F.aggregate("terms", F.lit(0), lambda a, x: a + x["tf"]).alias("length"), F.explode("terms").alias("x")).select("x.term", "field", "page_id", "x.tf", "length")
+    """(term, field, page_id, tf, length): the postings. Null fields have none.
+
+    A document's words are counted where it is read, so that a posting is shuffled once however often its term occurs.
+    """
+    each = None
+    for f in BOOST:
+        part = docs.where(F.col(f).isNotNull()).select("page_id", F.lit(f).alias("field"), F.regexp_extract_all(f, F.lit(f"({WORDS})"), F.lit(1)).alias("words"))
+        each = part if each is None else each.unionByName(part)
+    one = each.select("page_id", "field", F.size("words").alias("length"), F.explode("words").alias("word"))
+    term = F.lower(F.replace("word", F.lit("Σ"), F.lit("σ")))
+    return one.groupBy(term.alias("term"), "field", "page_id", "length").agg(F.count("*").cast("int").alias("tf")).select("term", "field", "page_id", "tf", "length")
 
 
 def statistics(index: DataFrame) -> DataFrame:
