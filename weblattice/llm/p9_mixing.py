@@ -151,7 +151,11 @@ def select(spark: SparkSession, p: Plan, seed: int = SEED) -> DataFrame:
 
     The last epoch's prefix ends with the last document that fits wholly into the budget.
     """
-    rows = [(x.path[-1], int(x.budget // x.tokens), x.budget - x.tokens * (x.budget // x.tokens)) for x in p.leaves if x.tokens > 0]
+    rows = []
+    for x in p.leaves:
+        if x.tokens > 0:
+            budget = min(x.budget + 1e-6, float(x.capacity))  # sums of shares may fall short of whole epochs by rounding
+            rows.append((x.path[-1], int(budget // x.tokens), budget % x.tokens))
     asked = F.broadcast(spark.createDataFrame(rows, "source string, epochs int, rest double"))  # a row per listed source
     order = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"))
     docs = p.counts.join(asked, "source").withColumn("place", order).withColumn("bucket", F.shiftrightunsigned(F.col("place"), 64 - BUCKET_BITS).cast("int"))
