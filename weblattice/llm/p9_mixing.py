@@ -53,7 +53,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             n = [len(encode(t)) if t else 0 for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokens"])
 
-    return spread(docs.select("doc_id", "source", "lang", "text")).mapInArrow(count, "doc_id long, source string, lang string, tokens long")
+    return docs.select("doc_id", "source", "lang", "text").mapInArrow(count, "doc_id long, source string, lang string, tokens long")
 
 
 @dataclass
@@ -136,7 +136,7 @@ def plan(spark: SparkSession, d: str, total: float | None = None, vocabulary: st
     sources or shares are left out.
     """
     targets = table(spark, d, "mix_targets", "source", "target_share", "max_repeats").dropna()
-    docs = table(spark, d, "documents", "doc_id", "source", "lang", "text").join(targets.select("source"), "source", "left_semi")
+    docs = spread(table(spark, d, "documents", "doc_id", "source", "lang", "text")).join(targets.select("source"), "source", "left_semi")
     counts = cut(token_counts(docs, vocabulary))
     by_lang = counts.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens"))
     top = by_lang.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max_by("lang", F.when(F.col("lang").isNotNull(), F.col("tokens"))).alias("lang"))
