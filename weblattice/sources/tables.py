@@ -14,7 +14,8 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 def spread(df: DataFrame) -> DataFrame:
     """A scan's rows over all cores: a table of fewer files than cores is dealt out, any other is left as it lies, without a shuffle.
 
-    For stages whose work is far dearer than moving their input once.
+    For stages whose work is far dearer than moving their input once; only for scans, as the number of partitions of anything
+    else is known after it has run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
