@@ -96,6 +96,20 @@ def test_residue(samples):
     assert r.residue(None, "404 Not Found\n" + "\n".join(t for _, t in samples[:5])) == ""
 
 
+def test_residue_of_any_length(samples):
+    r = p2_residue.fit([t for _, t in samples], [])
+    demand = "You need to enable JavaScript to run this app. Please turn on JavaScript to view this page.\n"
+    trace = "Traceback (most recent call last):\n" + "".join(f"Unhandled TypeError at x.y (z.js:{i}) at x.y (z.js:{i + 5})\n" for i in range(60))
+    for text in (demand * 40, trace, "=" * 250 + "\n404 Not Found\nThe requested URL was not found on this server."):
+        assert len(text) > 250 and r.residue(None, text) == "notice", text[:60]
+    natural = [t for _, t in samples]
+    assert r.residue(None, "\n".join(natural[:30])) == "" and r.residue(None, demand + "\n".join(natural[:30])) == ""
+    long = "a_rather_long_name | filter " * 9
+    for text in (f"{{{{ {long}}}}}", f"{{% if {long}%}}", f"<%= {long}%>", f"<!--# include {long}-->", f"<?php {long}?>", f"${{{long}}}", "{{\n site_name\n}}", f"[insert {long}]"):
+        assert r.residue(None, f"{natural[0]}\n{text}") == "filler", text
+    assert r.residue(None, "{{ never closed " * 5000) == ""
+
+
 # ---- 3
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 1000, 4000
 N, BUCKETS, SMOOTH, CLIP = 5, 1 << 18, 300.0, 5.0
 #: Window length in characters, and the mean log-likelihood ratio from which it is filler.
 WINDOW, FILLER_RATIO = 24, 2.0
-#: Share of a text that notices must cover, by windows of at least this ratio, and the longest text that is looked at so.
-COVERAGE, NOTICE_RATIO, NOTICE_CHARS = 0.6, 0.6, 1500
+#: Share of a text that notices must cover, by windows of at least this ratio.
+COVERAGE, NOTICE_RATIO = 0.6, 0.6
 #: Windows below this ratio are natural prose; a notice must cover at least this share of the text in any case.
 PROSE_RATIO, LEAST_NOTICE = -0.3, 0.2
 #: A text of fewer letters is no notice.
@@ -32,12 +33,13 @@ LEAST_LETTERS = 6
 #: Mean ratio of a sentence without its residue from which it speaks of residue.
 MENTION_RATIO = 1.0
 
-#: Unfilled placeholders of common template languages; what they name doesn't matter.
-_NAME = r"[A-Za-z_0-9][\w.-]*(?:\(['\"\w., ]{0,30}\))?"
+#: Unfilled placeholders of common template languages; what they name doesn't matter, nor how long it is: a body ends with its
+#: closing mark. No body holds its opening mark again, so that a text is read once however many are never closed.
+_NAME = r"[A-Za-z_0-9][\w.-]*(?:\(['\"\w., ]*\))?"
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{0,60}\}\}|\{%[^{}\n]{0,60}%\}|<%[=-]?[^<>\n]{0,60}%>|<!--\s*#[^<>\n]{0,60}-->|<\?(?:php|=)[^<>\n]{0,60}\?>|[$#]\{[^{}\n]{1,60}\}"
-    rf"|(?<![\w{{]){{{_NAME}}}(?![\w}}])|%%{_NAME}%%|(?<![\w%])%(?=[A-Za-z_]{{3}}){_NAME}%(?![\w%])|\[\[{_NAME}\]\]|(?<!\w)__(?=[A-Za-z]){_NAME}?__(?!\w)|(?<!\w)__[A-Za-z]\w*\(['\"\w., ]{{0,30}}\)__|@@{_NAME}@@"
-    r"|(?<![\w%])%[sd](?!\w)|\[\s*(?i:insert|your|enter|add|hier|votre|su|inserte)\s[^\[\]\n]{1,40}\]|\[(?:First|Last|Full|Company|Your|User|Site|Customer)\s?[A-Z]?[a-z]*\]|\[object Object\]|\bNaN/NaN(?:/NaN)?\b|\bnull null\b"
+    r"\{\{(?:[^{}]|\{(?!\{)|\}(?!\}))*\}\}|\{%(?:[^{%]|\{(?!%)|%(?!\}))*%\}|<%(?:[^<%]|<(?!%)|%(?!>))*%>|<!--\s*#(?:[^<-]|<(?!!--)|-(?!->))*-->|<\?(?:php|=)(?:[^<?]|<(?!\?)|\?(?!>))*\?>|[$#]\{[^{}]+\}"
+    rf"|(?<![\w{{]){{{_NAME}}}(?![\w}}])|%%{_NAME}%%|(?<![\w%])%(?=[A-Za-z_]{{3}}){_NAME}%(?![\w%])|\[\[{_NAME}\]\]|(?<!\w)__(?=[A-Za-z]){_NAME}?__(?!\w)|(?<!\w)__[A-Za-z]\w*\(['\"\w., ]*\)__|@@{_NAME}@@"
+    r"|(?<![\w%])%[sd](?!\w)|\[\s*(?i:insert|your|enter|add|hier|votre|su|inserte)\s[^\[\]\n]+\]|\[(?:First|Last|Full|Company|Your|User|Site|Customer)\s?[A-Z]?[a-z]*\]|\[object Object\]|\bNaN/NaN(?:/NaN)?\b|\bnull null\b"
 )
 
 
@@ -118,14 +120,14 @@ class Residue:
         covered = []
         for at in (np.flatnonzero(m > NOTICE_RATIO), np.flatnonzero(m < PROSE_RATIO)):
             edge = np.zeros(len(lr) + 1)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + WINDOW, -1)
+            edge[at] += 1
+            edge[at + WINDOW] -= 1
             covered.append(np.cumsum(edge)[:-1] > 0)
         return float(covered[0].mean()), float((covered[1] & ~covered[0]).mean())
 
     def is_notice(self, text: str, least: float | None = None) -> bool:
         """Whether notices cover the text, what stands in neither kind of window left aside."""
-        if len(text) > NOTICE_CHARS or sum(map(str.isalpha, text[:200])) < LEAST_LETTERS:
+        if next(islice(filter(str.isalpha, text), LEAST_LETTERS - 1, None), None) is None:
             return False
         notice, prose = self.coverage(text)
         return notice >= LEAST_NOTICE and notice >= (COVERAGE if least is None else least) * (notice + prose)
