@@ -204,6 +204,19 @@ def test_spam_pages(samples):
     assert not spam(en + "\n#one #two #three #four") and not spam("")
 
 
+def test_spam_with_cover_text_and_repeated_lines(spark, folder, samples):
+    en = [s for lang, t in samples if lang == "en" for s in re.split(r"(?<=[.!?])\s+|\n", t) if s.endswith(".") and len(s.split()) >= 8]
+    stuffing = "\n".join("cheap radio, cheap radio, old lamp, cheap radio, old lamp, cheap radio" for _ in range(400))
+    footer = "\n".join(en[:20])
+    assert len(footer.split()) > 110
+    short = "\n".join(", ".join(rng.sample(VOCAB, 12)) for _ in range(8))
+    texts = {1: f"{footer}\n{stuffing}", 2: "\n".join(en[20:40])}  # on their own sites: long stuffing with some cover text, and none
+    texts |= {i: f"{footer}\n{short if i == 10 else ' '.join(en[20 + i : 22 + i])}" for i in range(10, 16)}
+    pages = [{"id": i, "site_id": i if i < 10 else 3, "current_version_id": i} for i in texts]
+    d = folder(pages=pages, page_versions=[{"id": i, "page_id": i, "text": t} for i, t in texts.items()], lang_samples=[{"sample_id": i, "lang": lang, "text": t} for i, (lang, t) in enumerate(samples)])
+    assert {r.page_id for r in p5_spam.p5_found(spark, d).collect()} == {1, 10}
+
+
 # ---- 6
 
 
