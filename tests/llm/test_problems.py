@@ -217,6 +217,17 @@ def test_spam_with_cover_text_and_repeated_lines(spark, folder, samples):
     assert {r.page_id for r in p5_spam.p5_found(spark, d).collect()} == {1, 10}
 
 
+def test_spam_lists_of_longer_lines_and_of_link_names(spark, folder, samples):
+    every = rng.sample([a + b for a in VOCAB for b in VOCAB[:20]], 600)
+    lines = [" ".join(every[i : i + 6 + i % 2]) for i in range(0, 280, 7)]
+    en = [s for lang, t in samples if lang == "en" for s in re.split(r"(?<=[.!?])\s+|\n", t) if s.endswith(".") and 8 <= len(s.split()) <= 20]
+    onions = " ".join("http://" + "a2b3" * 14 + f"{i}.onion/" for i in range(9))
+    texts = {1: "\n".join(lines), 2: f"Narrow reader\n{onions}", 3: "\n".join(en[:12]), 4: "\n".join(en[:12]), 5: "\n".join(f"{a}\n{b}" for a, b in zip(lines[:12], en)), 6: "\n".join(" ".join(s.rstrip(".").split()[:7]) for s in en[:12])}
+    links = [{"src_page_id": 3, "dst_url": f"u{i}", "anchor_text": s} for i, s in enumerate(en[:12])] + [{"src_page_id": 4, "dst_url": "u", "anchor_text": en[0]}] * 12
+    d = folder(pages=[{"id": i, "site_id": i, "current_version_id": i} for i in texts], page_versions=[{"id": i, "page_id": i, "text": t} for i, t in texts.items()], links=links, lang_samples=[{"sample_id": i, "lang": lang, "text": t} for i, (lang, t) in enumerate(samples)])
+    assert {r.page_id for r in p5_spam.p5_found(spark, d).collect()} == {1, 2, 3}
+
+
 # ---- 6
 
 
