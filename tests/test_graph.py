@@ -67,6 +67,17 @@ def test_simhash_pairs_equal_brute_force(spark):
     assert got == want and len(want) >= 30
 
 
+def test_copies_beyond_any_bucket_are_paired_and_grouped(spark):
+    n = 2100  # more than the explorer compares
+    pages = spark.range(1, n + 6).selectExpr("id", "id + 10000 AS site_id", "0 AS depth", "id AS current_version_id")
+    h = f"CASE WHEN id <= {n} THEN 5L WHEN id = {n} + 1 THEN 4L WHEN id = {n} + 2 THEN -1L WHEN id = {n} + 3 THEN 255L ELSE NULL END"
+    versions = spark.range(1, n + 6).selectExpr("id", f"{h} AS simhash", "CAST('x' AS BINARY) AS text_hash", "repeat('a', 200) AS text")
+    pairs = graph.simhash_pairs(versions)
+    assert pairs.count() == pairs.distinct().count() == n * (n + 1) // 2 and pairs.where("a >= b").isEmpty()
+    (group,) = graph.home_clusters(pages, versions).collect()
+    assert (group.root, group.size, group.exact) == (1, n + 1, True) and list(group.ids) == list(range(10001, 10002 + n))
+
+
 def test_neighbourhood_and_pruning(spark):
     e = edges(spark, [(1, 2, 5), (3, 1, 9), (2, 4, 1), (4, 5, 1), (1, 6, 5)])
     assert {(r.id, r.ring) for r in graph.neighbourhood(e, 1, 1, 3).collect()} == {(1, 0), (3, 1), (2, 1)}

@@ -19,10 +19,8 @@ from weblattice.sources.snapshots import numbered
 DAMPING, ROUNDS = 0.85, 40
 #: Kinds that tell an operator, and the most sites that a value may be on.
 OPERATOR_KINDS, OPERATOR_SITES = ("pgp", "email"), (2, 18)
-#: Near-duplicate home pages: least length, largest distance, bands, and the largest bucket that is compared.
-HOME_CHARS, HOME_DISTANCE, BANDS, BUCKET = 200, 3, 4, 2000
-#: Members that are listed of a cluster, and parts in which large ones are ranked.
-LISTED, SALTS = 100, 64
+#: Near-duplicate home pages: least length, largest distance, bands, and rows of a key that are compared in one part.
+HOME_CHARS, HOME_DISTANCE, BANDS, BLOCK = 200, 3, 4, 1000
 
 
 def site_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -160,22 +158,42 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("src_site_id")), "src_site_id", "left_semi").join(ids.select(F.col("id").alias("dst_site_id")), "dst_site_id", "left_semi").select(F.col("src_site_id").alias("s"), F.col("dst_site_id").alias("t"), F.col("n_links").alias("w"))
 
 
-def simhash_pairs(rows: DataFrame, distance: int = HOME_DISTANCE, bands: int = BANDS, bucket: int | None = BUCKET) -> DataFrame:
-    """(a, b), a < b, of rows (id, simhash) whose hashes differ in at most ``distance`` < bands bits.
+def _parts(n: str):
+    """Parts that the rows of a key with so many are dealt to, so that no task compares all of them."""
+    return F.ceil(F.col(n) / BLOCK).cast("int")
+
 
-    Such hashes agree in one band of bits at least: rows are joined on their bands' values. Buckets beyond ``bucket`` rows are
-    degenerate and left out as the explorer does; None compares all.
+def near_hashes(hashes: DataFrame, distance: int = HOME_DISTANCE, bands: int = BANDS) -> DataFrame:
+    """(ha, hb), ha < hb, of distinct hashes (simhash) that differ in at most ``distance`` < bands bits.
+
+    Such hashes agree in one band of bits at least: they are joined on their bands' values.
     """
     if distance >= bands:
         raise ValueError("one band of each pair must agree: distance has to be below the number of bands")
     width = 64 // bands
     band = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("simhash", width * i).bitwiseAND(F.lit((1 << width) - 1)).alias("key")) for i in range(bands)]))
-    keyed = rows.select("id", "simhash", band.alias("k")).select("id", "simhash", "k.band", "k.key")
-    if bucket is not None:
-        sized = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n").between(2, bucket)).select("band", "key")
-        keyed = keyed.join(sized, ["band", "key"])
-    a, b = (keyed.select("band", "key", F.col("id").alias(x), F.col("simhash").alias("h" + x)) for x in "ab")
-    return a.join(b, ["band", "key"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= distance)).select("a", "b").distinct()
+    keyed = hashes.select("simhash", band.alias("k")).select("simhash", "k.band", "k.key")
+    sized = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key", _parts("n").alias("parts"))
+    keyed = keyed.join(sized, ["band", "key"])
+    a = keyed.select("band", "key", F.col("simhash").alias("ha"), F.pmod(F.xxhash64("simhash"), F.col("parts")).cast("int").alias("part"))
+    b = keyed.select("band", "key", F.col("simhash").alias("hb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["band", "key", "part"]).where((F.col("ha") < F.col("hb")) & (hamming(F.col("ha"), F.col("hb")) <= distance)).select("ha", "hb").distinct()
+
+
+def simhash_pairs(rows: DataFrame, distance: int = HOME_DISTANCE, bands: int = BANDS) -> DataFrame:
+    """(a, b), a < b, of rows (id, simhash) whose hashes differ in at most ``distance`` < bands bits.
+
+    Each hash is compared once, however many rows have it; pairs of hashes are written out as pairs of rows at the end.
+    """
+    rows = rows.where("simhash IS NOT NULL").select("id", "simhash")
+    hashes = rows.groupBy("simhash").agg(F.count("*").alias("n"))
+    same = hashes.where("n > 1").select(F.col("simhash").alias("ha"), F.col("simhash").alias("hb"))
+    pairs = near_hashes(hashes.select("simhash"), distance, bands).unionByName(same)
+    parts = hashes.select(F.col("simhash").alias("hb"), _parts("n").alias("parts"))
+    left = pairs.join(rows.select(F.col("id").alias("x"), F.col("simhash").alias("ha")), "ha").join(parts, "hb").select("x", "ha", "hb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = rows.withColumnRenamed("simhash", "hb").join(parts, "hb").select("hb", F.col("id").alias("y"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    both = left.join(right, ["hb", "part"]).where("ha <> hb OR x < y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def home_pages(pages: DataFrame, versions: DataFrame) -> DataFrame:
@@ -187,17 +205,15 @@ def home_pages(pages: DataFrame, versions: DataFrame) -> DataFrame:
 def home_clusters(pages: DataFrame, versions: DataFrame, distance: int = HOME_DISTANCE) -> DataFrame:
     """(root, size, exact, ids) of home pages that are near one another; exact where their texts are all the same.
 
-    The sites of at most LISTED pages are listed, those of the least ids, taken by rank before they are gathered.
+    Only the first page of each hash takes part in the search for groups, the others follow it; ids lists every site of a group.
     """
-    homes = cut(home_pages(pages, versions).where(F.col("chars") >= HOME_CHARS).select(F.col("page_id").alias("id"), F.col("id").alias("site_id"), "simhash", "text_hash"))
-    roots = components(homes, simhash_pairs(homes.select("id", "simhash"), distance))
-    full = homes.join(roots, "id")
-    groups = full.groupBy("root").agg(F.count("*").alias("size"), (F.min("text_hash") == F.max("text_hash")).alias("exact")).where("size > 1")
-    first = full.select("root", "id", "site_id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    for part in (["root", "salt"], ["root"]):  # a large group is cut down in parts before it is ranked as a whole
-        first = first.withColumn("at", F.row_number().over(Window.partitionBy(*part).orderBy("id"))).where(F.col("at") <= LISTED)
-    listed = first.groupBy("root").agg(F.array_sort(F.collect_list("site_id")).alias("ids"))
-    return groups.join(listed, "root").select("root", "size", "exact", "ids")
+    homes = cut(home_pages(pages, versions).where((F.col("chars") >= HOME_CHARS) & F.col("simhash").isNotNull()).select(F.col("page_id").alias("id"), F.col("id").alias("site_id"), "simhash", "text_hash"))
+    first = cut(homes.groupBy("simhash").agg(F.min("id").alias("id")))
+    near = near_hashes(first.select("simhash"), distance)
+    edges = near.join(first.toDF("ha", "a"), "ha").join(first.toDF("hb", "b"), "hb").select("a", "b")
+    roots = first.join(components(first, edges), "id").select("simhash", "root")
+    groups = homes.join(roots, "simhash").groupBy("root").agg(F.count("*").alias("size"), (F.min("text_hash") == F.max("text_hash")).alias("exact"), F.array_sort(F.collect_list("site_id")).alias("ids"))
+    return groups.where("size > 1").select("root", "size", "exact", "ids")
 
 
 def communities(edges: DataFrame, resolution: float = 1.1, least: int = 3, top: int = 24) -> DataFrame:

@@ -85,7 +85,7 @@ k AS (SELECT operator, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FRO
     "g_ego": (lambda c: graph.neighbourhood(c.edges, ME, 1, 10), f"{WITH_EDGES}, {EGO} SELECT id, ring FROM ego"),
     "g_top": (lambda c: graph.best_connected(c.edges, 40), f"{WITH_EDGES}, {TOP} SELECT id FROM top"),
     "g_near_dup": (lambda c: _home_pairs(c), f"WITH {HOMES} SELECT a.page_id AS a, b.page_id AS b FROM homes a JOIN homes b ON a.page_id < b.page_id AND a.chars >= 200 AND b.chars >= 200 AND bit_count(xor(a.simhash, b.simhash)) <= 3"),
-    "g_version_pairs": (lambda c: graph.simhash_pairs(c.versions.where("simhash <> 0"), 3, bucket=None), "SELECT a.id AS a, b.id AS b FROM page_versions a JOIN page_versions b ON a.id < b.id AND a.simhash <> 0 AND b.simhash <> 0 AND bit_count(xor(a.simhash, b.simhash)) <= 3"),
+    "g_version_pairs": (lambda c: graph.simhash_pairs(c.versions.where("simhash <> 0"), 3), "SELECT a.id AS a, b.id AS b FROM page_versions a JOIN page_versions b ON a.id < b.id AND a.simhash <> 0 AND b.simhash <> 0 AND bit_count(xor(a.simhash, b.simhash)) <= 3"),
     "g_louvain": (lambda c: graph.communities(x.graph_edges(c, x.graph_ids(c, most=1500))), None),
     "g_meta_edges": (lambda c: _meta(c), None),
     "g_draw_prune": (lambda c: graph.draw_prune(x.graph_ids(c, most=40), x.graph_edges(c, x.graph_ids(c, most=40)))[0], f"{WITH_EDGES}, {TOP}, e AS (SELECT * FROM edges WHERE src_site_id IN (SELECT id FROM top) AND dst_site_id IN (SELECT id FROM top) AND src_site_id IN (SELECT id FROM sites) AND dst_site_id IN (SELECT id FROM sites)) SELECT DISTINCT id FROM (SELECT src_site_id AS id FROM e UNION ALL SELECT dst_site_id FROM e)"),

@@ -260,7 +260,7 @@ UNION ALL SELECT id, 'eth', lower(unnest(regexp_extract_all(text, '\b0x[a-fA-F0-
     "w_rolling_rate": (lambda c: _rates(c).where("rate > 0"), f"WITH {_RATES.format(where='')} SELECT ts, outcome, proxy, round(rate, 9) AS rate FROM r WHERE round(rate, 9) > 0"),
     # other names of the inventory
     "j_cross_theta": (lambda c: x.similar(c, 1, 26), "WITH homes AS (SELECT p.site_id AS id, p.id AS page_id, v.simhash, length(v.text) AS chars FROM pages p JOIN page_versions v ON v.id = p.current_version_id WHERE p.depth = 0), me AS (SELECT simhash FROM homes WHERE id = 1 ORDER BY page_id LIMIT 1) SELECT s.id, s.onion, coalesce(s.title, '') AS title, s.status, bit_count(xor(h.simhash, me.simhash)) AS distance FROM me, homes h JOIN sites s ON s.id = h.id WHERE h.id <> 1 AND h.chars >= 200 AND bit_count(xor(h.simhash, me.simhash)) <= 26 ORDER BY distance, s.id LIMIT 50"),
-    "j_band": (lambda c: graph.simhash_pairs(c.versions.where("length(text) >= 200"), 2, bucket=None), "SELECT a.id AS a, b.id AS b FROM page_versions a JOIN page_versions b ON a.id < b.id AND length(a.text) >= 200 AND length(b.text) >= 200 AND bit_count(xor(a.simhash, b.simhash)) <= 2"),
+    "j_band": (lambda c: graph.simhash_pairs(c.versions.where("length(text) >= 200"), 2), "SELECT a.id AS a, b.id AS b FROM page_versions a JOIN page_versions b ON a.id < b.id AND length(a.text) >= 200 AND length(b.text) >= 200 AND bit_count(xor(a.simhash, b.simhash)) <= 2"),
     "j_calendar_left": (lambda c: x.calendar(c, 2), f"""WITH u AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (WHERE outcome IN {_ALIVE}) AS up, count(*) AS total FROM fetch_log WHERE site_id = 2 AND ts > {AS_OF} - INTERVAL 90 DAY GROUP BY 1)
 SELECT CAST(g.day AS DATE) AS day, CASE WHEN total IS NULL THEN 'none' WHEN up = total THEN 'up' WHEN up = 0 THEN 'down' ELSE 'flaky' END AS colour FROM (SELECT unnest(generate_series(CAST({AS_OF} AS DATE)::TIMESTAMP - INTERVAL 89 DAY, CAST({AS_OF} AS DATE)::TIMESTAMP, INTERVAL 1 DAY)) AS day) g LEFT JOIN u ON u.day = CAST(g.day AS DATE)"""),
     "o_topk_ring": (lambda c: graph.neighbourhood(c.edges, 2, 2, 30), f"""WITH {EDGES}, both_ AS (SELECT src_site_id AS x, dst_site_id AS id, n_links FROM edges UNION ALL SELECT dst_site_id, src_site_id, n_links FROM edges),
