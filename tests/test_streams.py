@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from weblattice.operators import state
 from weblattice.streaming import streams
 
 T0 = dt.datetime(2025, 1, 1)
@@ -45,6 +48,25 @@ def test_state_survives_batches(spark, tmp_path):
     assert spark.table("live").where("site_id = 1 AND consecutive_failures = 3").count() == 1
 
 
+def test_state_doesnt_depend_on_the_order_of_pieces(spark, tmp_path):
+    rng, outcomes = random.Random(5), ["ok", "timeout", "desc_not_found", "rend_failed", "http_error"]
+    rows = [(at(rng.randrange(40)), s, outcomes[min(rng.randrange(12), 4)] if s < 3 else "timeout") for s in (1, 2, 3) for _ in range(150)]
+    rows += [(at(41 + k // 3), 1, "timeout") for k in range(40)] + [(at(60 + k), 4, "timeout") for k in range(30)] + [(at(75), 4, "ok")]
+    rng.shuffle(rows)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        streams.run(streams.liveness(source(spark, tmp_path, [rows])), f"{tmp_path}/c", name="pieces", mode="update")
+    finally:
+        spark.conf.set(size, before)
+    got = {r.site_id: (r.ts, r.consecutive_failures, r.last_ok, r.status) for r in spark.table("pieces").collect()}
+    for s in (1, 2, 3, 4):
+        own = sorted((t, o) for t, i, o in rows if i == s)
+        x = state.fold(((pd.Timestamp(t), o) for t, o in own), pd.Timestamp(own[0][0]))
+        assert got[s] == (own[-1][0], x["consecutive_failures"], None if pd.isna(x["last_ok"]) else x["last_ok"].to_pydatetime(), x["status"])
+
+
 def test_deduplication_and_batch_functions(spark, tmp_path):
     log = source(spark, tmp_path, [[(at(0), 1, "ok"), (at(0), 1, "ok")], [(at(0), 1, "ok"), (at(1), 2, "ok")]])
     sites = spark.createDataFrame([(1, "a"), (2, "b")], "id long, onion string")

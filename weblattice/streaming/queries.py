@@ -14,7 +14,7 @@ from weblattice.streaming import streams
 def _run(spark: SparkSession, d: str, make, mode: str) -> DataFrame:
     """The rows that a stream over the folder's log gives when it has read all; written to the shared folder, read back as a table.
 
-    The log is one file here and so one batch: nothing is late, whatever its order.
+    The log is read in one batch here: nothing is late, whatever its order and however many pieces a site's rows come in.
     """
     base = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     c = Crawl(spark, d)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from weblattice.functions.fetching import is_alive
+from weblattice.functions.fetching import ALIVE, is_alive
 from weblattice.operators import predicates, search, state
 
 DELAY = "10 minutes"
@@ -50,20 +50,40 @@ LIVE = "site_id long, ts timestamp, status string, consecutive_failures int, las
 
 
 def liveness(log: DataFrame) -> DataFrame:
-    """The state of each site after every batch that has rows of it; rows are taken in order piece by piece, those earlier than the state's time are late and ignored."""
+    """The state of each site after every batch that has rows of it; rows earlier than the state's time when the batch begins are late and ignored.
+
+    A site may have any number of rows in a batch, which come in pieces of any order: of these are kept the last row, the last
+    answer, and how many failures each moment after the last answer has.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        ts, last_ok, failures, status, first = pd.NaT, pd.NaT, 0, "unknown", None
+        ts, last_ok, failures, status, first = pd.NaT, pd.NaT, 0, "unknown", pd.NaT
         if held.exists:
             ts, last_ok, failures, status = held.get
             last_ok = pd.NaT if last_ok is None else last_ok
-        for rows in batches:  # one piece at a time: a site may have any number of rows in a batch
-            rows = rows.sort_values(["ts", "outcome"])
-            first = rows["ts"].iloc[0] if first is None else first
-            for t, outcome in zip(rows["ts"], rows["outcome"]):
-                if pd.isna(ts) or t >= ts:
-                    s = state.step({"first_seen": first, "last_ok": last_ok, "consecutive_failures": failures}, t, outcome)
-                    ts, last_ok, failures, status = t, s["last_ok"], s["consecutive_failures"], s["status"]
+        last, ok, failed = None, None, pd.Series(dtype="int64")
+        for rows in batches:
+            first = min((t for t in (first, rows["ts"].min()) if not pd.isna(t)), default=pd.NaT)
+            known = rows["ts"].notna() if pd.isna(ts) else rows["ts"] >= ts
+            moments = rows.loc[known, ["ts", "outcome"]].fillna({"outcome": ""}).groupby(["ts", "outcome"]).size()  # in order
+            if not len(moments):
+                continue
+            last = max(moments.index[-1], last or moments.index[-1])
+            alive = moments.index.isin(ALIVE, level="outcome")
+            if alive.any():
+                ok = max(moments.index[alive][-1], ok or moments.index[alive][-1])
+            failed = moments[~alive] if failed.empty else failed.add(moments[~alive], fill_value=0)
+            if ok is not None and len(failed):
+                t, outcome = failed.index.get_level_values("ts"), failed.index.get_level_values("outcome")
+                failed = failed[(t > ok[0]) | (t == ok[0]) & (outcome > ok[1])]
+        if last is None and not held.exists:
+            return
+        if last is not None:
+            if ok is not None:
+                last_ok, failures = ok[0], 0
+            failures += int(failed.sum())
+            before = {"first_seen": first, "last_ok": last_ok, "consecutive_failures": max(failures - 1, 0)}
+            ts, status = last[0], state.step(before, *last)["status"]
         held.update((ts, None if pd.isna(last_ok) else last_ok, failures, status))
         yield pd.DataFrame({"site_id": [key[0]], "ts": [ts], "status": [status], "consecutive_failures": [failures], "last_ok": [last_ok]})
 
