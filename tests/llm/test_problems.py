@@ -246,6 +246,15 @@ def test_one_site_alone_still_has_repeated_lines(spark, folder):
     assert p6_lines.p6_found(spark, d).count() == 7
 
 
+def test_a_line_that_is_common_elsewhere_too_goes_by_its_counts(spark, folder):
+    # (pages, pages with the line) of each site: a hot one below the share, small ones, one at 5 of 16 pages, one at 4 of 5
+    sites = {1: (300, 60), 2: (16, 5), 3: (5, 4), **{s: (3, 3) for s in range(10, 40)}}
+    placed = [(s, k < n) for s, (all_, n) in sites.items() for k in range(all_)]
+    d = folder(pages=[{"id": i, "site_id": s} for i, (s, _) in enumerate(placed)], page_versions=[{"id": i, "page_id": i, "text": f"w{prose(9)} {rng.choice(VOCAB)}{rng.choice(VOCAB)}" + "\nPowered by the stock footer" * has} for i, (_, has) in enumerate(placed)])
+    found = {(r.version_id, r.line_no) for r in p6_lines.p6_found(spark, d).collect()}
+    assert found == {(i, 2) for i, (s, has) in enumerate(placed) if has and s == 2}
+
+
 # ---- 7
 
 
