@@ -205,11 +205,12 @@ def test_spam_pages(samples):
 
 
 def test_spam_with_cover_text_and_repeated_lines(spark, folder, samples):
+    own = random.Random(3)
     en = [s for lang, t in samples if lang == "en" for s in re.split(r"(?<=[.!?])\s+|\n", t) if s.endswith(".") and len(s.split()) >= 8]
     stuffing = "\n".join("cheap radio, cheap radio, old lamp, cheap radio, old lamp, cheap radio" for _ in range(400))
     footer = "\n".join(en[:20])
     assert len(footer.split()) > 110
-    short = "\n".join(", ".join(rng.sample(VOCAB, 12)) for _ in range(8))
+    short = "\n".join(", ".join(own.sample(VOCAB, 12)) for _ in range(8))
     texts = {1: f"{footer}\n{stuffing}", 2: "\n".join(en[20:40])}  # on their own sites: long stuffing with some cover text, and none
     texts |= {i: f"{footer}\n{short if i == 10 else ' '.join(en[20 + i : 22 + i])}" for i in range(10, 16)}
     pages = [{"id": i, "site_id": i if i < 10 else 3, "current_version_id": i} for i in texts]
@@ -218,7 +219,8 @@ def test_spam_with_cover_text_and_repeated_lines(spark, folder, samples):
 
 
 def test_spam_lists_of_longer_lines_and_of_link_names(spark, folder, samples):
-    every = rng.sample([a + b for a in VOCAB for b in VOCAB[:20]], 600)
+    own = random.Random(3)
+    every = own.sample([a + b for a in VOCAB for b in VOCAB[:20]], 600)
     lines = [" ".join(every[i : i + 6 + i % 2]) for i in range(0, 280, 7)]
     en = [s for lang, t in samples if lang == "en" for s in re.split(r"(?<=[.!?])\s+|\n", t) if s.endswith(".") and 8 <= len(s.split()) <= 20]
     onions = " ".join("http://" + "a2b3" * 14 + f"{i}.onion/" for i in range(9))
@@ -247,10 +249,11 @@ def test_one_site_alone_still_has_repeated_lines(spark, folder):
 
 
 def test_a_line_that_is_common_elsewhere_too_goes_by_its_counts(spark, folder):
+    own = random.Random(3)
     # (pages, pages with the line) of each site: a hot one below the share, small ones, one at 5 of 16 pages, one at 4 of 5
     sites = {1: (300, 60), 2: (16, 5), 3: (5, 4), **{s: (3, 3) for s in range(10, 40)}}
     placed = [(s, k < n) for s, (all_, n) in sites.items() for k in range(all_)]
-    d = folder(pages=[{"id": i, "site_id": s} for i, (s, _) in enumerate(placed)], page_versions=[{"id": i, "page_id": i, "text": f"w{prose(9)} {rng.choice(VOCAB)}{rng.choice(VOCAB)}" + "\nPowered by the stock footer" * has} for i, (_, has) in enumerate(placed)])
+    d = folder(pages=[{"id": i, "site_id": s} for i, (s, _) in enumerate(placed)], page_versions=[{"id": i, "page_id": i, "text": " ".join(own.choice(VOCAB) for _ in range(11)) + "\nPowered by the stock footer" * has} for i, (_, has) in enumerate(placed)])
     found = {(r.version_id, r.line_no) for r in p6_lines.p6_found(spark, d).collect()}
     assert found == {(i, 2) for i, (s, has) in enumerate(placed) if has and s == 2}
 
@@ -349,3 +352,9 @@ def test_cuts_and_endings(spark, folder):
     assert [(r.source, r.unit, r.size) for r in p10_truncation.p10_limits(spark, d).collect() if r.source == "short" and r.unit == "chars"] == [("short", "chars", 400)]
     share = {r.source: r.n_cut for r in p10_truncation.p10_sources(spark, d).collect()}
     assert share["short"] == len(cut)
+
+
+def test_blanks_after_a_cut_of_any_length(spark, folder):
+    texts = {1: "One sentence. The text stops in the mid" + " \n" * 500, 2: "One sentence. It ends." + " " * 900, 3: " \n" * 600}
+    d = folder(documents=[{"doc_id": i, "source": "s", "text": t} for i, t in texts.items()])
+    assert {r.doc_id for r in p10_truncation.p10_found(spark, d).collect()} == {1}

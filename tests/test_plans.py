@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import datetime as dt
+
 import duckdb
 import pytest
 
-from weblattice.plans import explore, registry
+from weblattice.plans import explore, registry, relational
 from weblattice.plans.crawl import Crawl
 
 #: Iterative or streamed queries are compared by the tests of their operators.
@@ -63,3 +65,12 @@ def test_the_rest_works_without_the_text_subpackage():
             for node in ast.walk(ast.parse(f.read_text())):
                 names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
                 assert not any(n.startswith("weblattice.llm") for n in names), f
+
+
+def test_postings_left_and_report_of_routed_sites(spark, folder):
+    sites = [{"id": i, "onion": f"o{i}"} for i in (1, 2, 3)]
+    pages = [{"id": i, "site_id": i, "url": "u", "current_version_id": i} for i in (1, 2, 3)]
+    d = folder(sites=sites, pages=pages, page_versions=[{"id": i, "page_id": i, "text": t} for i, t in ((1, "fox den"), (2, "fox Lantern"), (3, "owl"))], fetch_log=[{"ts": dt.datetime(2025, 1, 1), "site_id": 1, "outcome": "ok"}])
+    left = relational.QUERIES["snk_delete_postings"](spark, d).select("page_id", "term").distinct()
+    assert {(2, "fox"), (2, "lantern"), (3, "owl")} <= {tuple(r) for r in left.collect()} and left.where("page_id = 1").isEmpty()
+    assert [r.address for r in relational.QUERIES["snk_report_routed"](spark, d).collect()] == ["o2.onion"]

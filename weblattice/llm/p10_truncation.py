@@ -21,7 +21,7 @@ NEAR, FAR = 5, 80
 MIN_TEXTS, MIN_RATIO = 4, 6.0
 #: A last line that so many texts share (and this share of all texts) is a closing phrase.
 CLOSING_TEXTS, CLOSING_SHARE = 3, 2e-4
-#: Characters of the text's end that are read for its last line.
+#: Characters of the end of a text without its last blanks that are read for its last line.
 TAIL = 600
 
 #: Marks that are put after a cut.
@@ -48,7 +48,7 @@ def endings(docs: DataFrame) -> DataFrame:
     ended: the last line ends as a sentence does. natural: it ends on its own in another way. torn: a mark of a broken
     transfer follows. phrase: the letters of a short last line that did not end, as a possible closing phrase.
     """
-    tail = F.regexp_replace(F.expr(f"right(text, {TAIL})"), r"\s+$", "")
+    tail = F.right(F.rtrim("text", F.lit(" \t\n\x0b\f\r")), F.lit(TAIL))
     last = F.substring_index(tail, "\n", -1)
     base = docs.where("text IS NOT NULL").select("doc_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("same"), last.alias("line")).where("line <> ''")
     torn = F.col("line").rlike(_LOST) | F.col("line").rlike(_MARKUP) & ~F.col("line").rlike(_ADDRESS)

@@ -130,6 +130,11 @@ b AS (SELECT page_id, round(max(score), 6) AS score FROM s GROUP BY 1)
 SELECT page_id, score, (SELECT count(*) FROM b) AS total FROM b ORDER BY score DESC, page_id LIMIT 25"""
 _COUNTED = "n AS (SELECT date_trunc('hour', ts) AS t, outcome, count(*) AS n FROM fetch_log WHERE ts > (SELECT max(ts) FROM fetch_log) - INTERVAL 3 DAY GROUP BY 1, 2)"
 
+
+
+def _routed(c: Crawl) -> DataFrame:
+    """The sites to purge of those whose pages hold a term."""
+    return state.route(c.versions.join(c.pages.select(F.col("id").alias("page_id"), "site_id"), "page_id").withColumn("outcome", F.lit("ok")), F.lower("text").contains("lantern"))
 _ALL = {
     # sources and sinks
     "src_query": (lambda c: c.spark.sql("SELECT id, url FROM {p} WHERE depth = :depth", args={"depth": 1}, p=c.pages), "SELECT id, url FROM pages WHERE depth = 1"),
@@ -142,6 +147,8 @@ _ALL = {
     "snk_report": (lambda c: state.report(c.sites.where("id % 3 = 0").select(F.col("id").alias("site_id"), F.lit("filter").alias("reason")), c.sites, _as_of(c)), f"SELECT onion || '.onion' AS address, {AS_OF} AS ts FROM sites WHERE id % 3 = 0"),
     "snk_prom": (lambda c: metrics.from_log(c.log).groupBy("metric", F.to_json(F.array_sort(F.map_entries("labels"))).alias("series")).agg(F.max("value").alias("value")).groupBy("metric").agg(F.sum("value").alias("value"), F.count("*").alias("n")), f"SELECT 'crawler_fetches_total' AS metric, CAST(count(*) AS DOUBLE) AS value, count(DISTINCT (coalesce(outcome, ''), coalesce(proxy, ''))) AS n FROM fetch_log UNION ALL SELECT 'crawler_fetch_duration_seconds_bucket', CAST(sum(len(list_filter({list(metrics.BUCKETS)}, lambda b: latency_ms / 1000.0 <= b)) + 1) AS DOUBLE), count(DISTINCT outcome) * {len(metrics.BUCKETS) + 1} FROM fetch_log WHERE latency_ms IS NOT NULL"),
     "snk_delete_by_query": (lambda c: search.delete_site(search.inverted(search.documents(c.pages, c.versions)), search.documents(c.pages, c.versions), 1)[1].select("page_id"), "SELECT p.id AS page_id FROM pages p JOIN page_versions v ON v.id = p.current_version_id WHERE p.site_id <> 1"),
+    "snk_delete_postings": (lambda c: search.delete_site(search.inverted(search.documents(c.pages, c.versions)), search.documents(c.pages, c.versions), 1)[0], None),
+    "snk_report_routed": (lambda c: state.report(_routed(c), c.sites, _as_of(c)), None),
     # predicates
     "p_site_cols": (lambda c: c.sites.select(*x.site_columns(c.sites)), "SELECT id, onion, coalesce(title, '') AS title, status FROM sites"),
     "p_optional": (lambda c: c.pages.where(pr.all_of(pr.optional("depth", 1), pr.optional("url", ""), pr.optional("site_id", -1))).select("id"), "SELECT id FROM pages WHERE depth = 1"),
@@ -246,7 +253,7 @@ UNION ALL SELECT id, 'eth', lower(unnest(regexp_extract_all(text, '\b0x[a-fA-F0-
     "u_trim_capped": (lambda c: state.trim_capped(*_queue(c), cap=10).groupBy("site_id").agg(F.count("*").alias("n")), f"WITH {_QUEUE} SELECT site_id, count(*) AS n FROM q WHERE priority <= 1 OR site_id NOT IN (SELECT id FROM sites WHERE pages_fetched >= 10) GROUP BY 1"),
     "u_index_delta": (lambda c: state.index_delta(c.pages.withColumn("indexed_version_id", F.when(F.col("depth") > 0, F.col("current_version_id")))).select("id"), "SELECT id FROM pages WHERE depth = 0 AND current_version_id IS NOT NULL"),
     "u_gauges": (lambda c: state.gauges(*_queue(c), c.pages, _as_of(c)), f"SELECT 'crawler_sites' AS metric, status AS label, count(*) AS value FROM sites GROUP BY 2 UNION ALL SELECT 'crawler_frontier', 'total', count(*) FROM pages UNION ALL SELECT 'crawler_frontier', 'due', count(*) FROM pages WHERE last_fetched <= {AS_OF} UNION ALL SELECT 'crawler_pages', '', count(*) FROM pages"),
-    "u_route_purge": (lambda c: state.route(c.versions.join(c.pages.select(F.col("id").alias("page_id"), "site_id"), "page_id").withColumn("outcome", F.lit("ok")), F.lower("text").contains("lantern")), "SELECT DISTINCT p.site_id, 'filter' AS reason FROM page_versions v JOIN pages p ON p.id = v.page_id WHERE contains(lower(text), 'lantern')"),
+    "u_route_purge": (lambda c: _routed(c), "SELECT DISTINCT p.site_id, 'filter' AS reason FROM page_versions v JOIN pages p ON p.id = v.page_id WHERE contains(lower(text), 'lantern')"),
     "u_guard": (lambda c: c.pages.where(~terms.matches(c.spark, terms.Terms(["~kb"]), F.col("url"))).select("id"), "SELECT id FROM pages WHERE NOT contains(regexp_replace(lower(url), '[^\\p{L}\\p{Nd}]+', '', 'g'), 'kb')"),
     # search and metrics
     "q_search": (lambda c: _searched(c), None),
