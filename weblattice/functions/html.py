@@ -49,7 +49,7 @@ class _Builder(HTMLParser):
         self.open: list[str] = []
         self.dropped = 0  # how deep within a dropped element
         self.dropping = ""
-        self.in_head = False
+        self.in_head = True  # a head needs no tag of its own
         self.title: str | None = None
         self.base: str | None = None
         self.links: list[list[str]] = []
@@ -68,7 +68,7 @@ class _Builder(HTMLParser):
             return
         if tag == "head":
             self.in_head = True
-        elif self.in_head and tag not in _HEAD_ONLY:
+        elif self.in_head and tag != "html" and tag not in _HEAD_ONLY:
             self.in_head = False
         if tag in _ENDS_P and "p" in self.open:
             self._close("p")

@@ -8,6 +8,7 @@ from weblattice.functions import display, entities as ent, fetching, hashing, ht
 from weblattice.operators import graph, metrics, predicates as pr, search, state
 from weblattice.plans import explore as x
 from weblattice.plans.crawl import AS_OF, EDGES, Crawl, truncated
+from weblattice.plans.explore_queries import SITE_SIZES
 from weblattice.session import cut
 from weblattice.sources import lists, snapshots
 from weblattice.sources.tables import spread
@@ -190,7 +191,7 @@ _ALL = {
     "a_last_by": (lambda c: c.log.groupBy("site_id").agg(F.max_by("outcome", F.struct("ts", "outcome")).alias("last")), "SELECT site_id, max_by(outcome, (ts, outcome)) AS last FROM fetch_log GROUP BY 1"),
     "a_percentile_cont": (lambda c: c.log.where("latency_ms IS NOT NULL").groupBy("outcome").agg(F.round(F.percentile("latency_ms", 0.5), 6).alias("p50"), F.round(F.percentile("latency_ms", 0.99), 6).alias("p99")), "SELECT outcome, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.99), 6) AS p99 FROM fetch_log WHERE latency_ms IS NOT NULL GROUP BY 1"),
     "a_sum_over": (lambda c: x.per_day(c.log, "ts"), "SELECT day, n, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS total FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM fetch_log GROUP BY 1)"),
-    "a_histogram_bucket": (x.site_sizes, "SELECT CASE WHEN pages_fetched = 0 THEN '0' WHEN pages_fetched = 1 THEN '1' WHEN pages_fetched <= 5 THEN '2-5' WHEN pages_fetched <= 20 THEN '6-20' WHEN pages_fetched <= 100 THEN '21-100' ELSE '100+' END AS bucket, count(*) AS sites FROM sites GROUP BY 1"),
+    "a_histogram_bucket": (x.site_sizes, SITE_SIZES),
     "a_share": (lambda c: c.log.groupBy("outcome").agg(F.count("*").alias("n")).select("outcome", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9).alias("share"), F.round(F.col("n") / F.max("n").over(Window.partitionBy()), 9).alias("bar")), "SELECT outcome, round(n / sum(n) OVER (), 9) AS share, round(n / max(n) OVER (), 9) AS bar FROM (SELECT outcome, count(*) AS n FROM fetch_log GROUP BY 1)"),
     "a_having": (lambda c: c.links.groupBy("dst_site_id").agg(F.count("*").alias("n")).where("n > 10"), "SELECT dst_site_id, count(*) AS n FROM links GROUP BY 1 HAVING count(*) > 10"),
     "a_pk_dep_group": (lambda c: c.log.groupBy(F.col("site_id").alias("id")).agg(F.count("*").alias("n")).join(c.sites.select("id", "onion", "status"), "id"), "SELECT s.id, s.onion, s.status, count(*) AS n FROM fetch_log f JOIN sites s ON s.id = f.site_id GROUP BY ALL"),
