@@ -84,7 +84,7 @@ def test_twice_damaged(repair):
 
 
 def test_residue(samples):
-    r = p2_residue.fit([t for _, t in samples], [])
+    r = p2_residue.fit([t for _, t in samples])
     prose_ = samples[0][1]
     for text in (f"{prose_}\n© {{{{ site_name }}}}", f"{prose_}\n[[title]] x", "Dear [First Name],\n" + prose_, "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt.\n" + prose_, "Hello %s, welcome"):
         assert r.residue(None, text) == "filler", text
@@ -97,7 +97,7 @@ def test_residue(samples):
 
 
 def test_residue_of_any_length(samples):
-    r = p2_residue.fit([t for _, t in samples], [])
+    r = p2_residue.fit([t for _, t in samples])
     demand = "You need to enable JavaScript to run this app. Please turn on JavaScript to view this page.\n"
     trace = "Traceback (most recent call last):\n" + "".join(f"Unhandled TypeError at x.y (z.js:{i}) at x.y (z.js:{i + 5})\n" for i in range(60))
     for text in (demand * 40, trace, "=" * 250 + "\n404 Not Found\nThe requested URL was not found on this server."):

@@ -1,8 +1,10 @@
 """Problem 2: template residue, filler and error pages.
 
-Character n-gram models of filler, of notices, of prose that speaks of either and of natural prose are fitted on labelled
-seeds and on bounded samples of the corpus. The log-likelihood ratio to natural prose is summed over windows: filler is
-residue wherever a window of it stands and its sentence doesn't speak of it; a notice excludes a text that it covers.
+Character n-gram models of filler, of placeholders, of notices, of prose that speaks of any of them and of natural prose are fitted on
+seeds from public knowledge. A first fit sorts the texts and lines of the whole corpus; those it finds natural, and the
+texts it finds to be notices, are counted, and the models are fitted again with these counts. The log-likelihood ratio to natural prose
+is summed over windows: filler is residue wherever a window of it stands and its sentence doesn't speak of it; a
+notice excludes a text that it covers.
 """
 
 from __future__ import annotations
@@ -15,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weblattice.llm.residue_seeds import CONTENT, FILLER, MENTION, NOTICE
-from weblattice.llm.sampling import bounded_sample
+from weblattice.llm.residue_seeds import CONTENT, FILLER, MENTION, NOTICE, placeholders
+from weblattice.llm.sampling import labelled
 from weblattice.sources.tables import spread, table
 
-#: Rows of the corpus that natural prose is fitted on besides the labelled samples (bounded: those with the least hash of their id).
-SAMPLE_ROWS, SAMPLE_CHARS = 1000, 4000
+#: What the counts of the whole corpus weigh in the models, in n-grams: natural prose, and what was found of notices and of filler in shares of the seeds'.
+NATURAL_WEIGHT, FOUND_WEIGHT = 1.5e6, 1.0
 N, BUCKETS, SMOOTH, CLIP = 5, 1 << 18, 300.0, 5.0
 #: Window length in characters, and the mean log-likelihood ratio from which it is filler.
 WINDOW, FILLER_RATIO = 24, 2.0
@@ -31,15 +33,21 @@ PROSE_RATIO, LEAST_NOTICE = -0.3, 0.2
 #: A text of fewer letters is no notice.
 LEAST_LETTERS = 6
 #: Mean ratio of a sentence without its residue from which it speaks of residue.
-MENTION_RATIO = 1.0
-
-#: Unfilled placeholders of common template languages; what they name doesn't matter, nor how long it is: a body ends with its
-#: closing mark. No body holds its opening mark again, so that a text is read once however many are never closed.
+MENTION_RATIO = 0.0
+#: Mean ratio of a candidate from which it is a placeholder; characters before and after a value that are seen with it.
+PLACE_RATIO, PLACE_AROUND = 0.5, 12
+#: Share of a text that notices must cover, and of a line that filler must cover, for their n-grams to be counted as such.
+LEARN_COVERAGE = 0.9
+#: Mean ratios of a line, and of a window of it, from which it is not counted as natural prose.
+NATURAL_MENTION, NATURAL_FILLER = 0.3, 1.0
+
+#: What may be a placeholder by the syntax of common template languages; what it names doesn't matter, nor how long it is: a body ends
+#: with its closing mark. No body holds its opening mark again, so that a text is read once however many are never closed.
 _NAME = r"[A-Za-z_0-9][\w.-]*(?:\(['\"\w., ]*\))?"
-PLACEHOLDER = re.compile(
+CANDIDATE = re.compile(
     r"\{\{(?:[^{}]|\{(?!\{)|\}(?!\}))*\}\}|\{%(?:[^{%]|\{(?!%)|%(?!\}))*%\}|<%(?:[^<%]|<(?!%)|%(?!>))*%>|<!--\s*#(?:[^<-]|<(?!!--)|-(?!->))*-->|<\?(?:php|=)(?:[^<?]|<(?!\?)|\?(?!>))*\?>|[$#]\{[^{}]+\}"
     rf"|(?<![\w{{]){{{_NAME}}}(?![\w}}])|%%{_NAME}%%|(?<![\w%])%(?=[A-Za-z_]{{3}}){_NAME}%(?![\w%])|\[\[{_NAME}\]\]|(?<!\w)__(?=[A-Za-z]){_NAME}?__(?!\w)|(?<!\w)__[A-Za-z]\w*\(['\"\w., ]*\)__|@@{_NAME}@@"
-    r"|(?<![\w%])%[sd](?!\w)|\[\s*(?i:insert|your|enter|add|hier|votre|su|inserte)\s[^\[\]\n]+\]|\[(?:First|Last|Full|Company|Your|User|Site|Customer)\s?[A-Z]?[a-z]*\]|\[object Object\]|\bNaN/NaN(?:/NaN)?\b|\bnull null\b"
+    r"|(?<![\w%])%[sd](?!\w)|\[\s*(?i:insert|your|enter|add|hier|votre|su|inserte)\s[^\[\]\n]+\]|\[(?:First|Last|Full|Company|Your|User|Site|Customer)\s?[A-Z]?[a-z]*\]|\[object [A-Z]\w*\]|\b(?:NaN|undefined|null)\b"
 )
 
 
@@ -85,11 +93,41 @@ def _window_means(lr: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return (c[size:] - c[:-size]) / size
 
 
+_INNER = re.compile(r"[A-Za-z0-9_].*[A-Za-z0-9_)]|[A-Za-z0-9_]", re.DOTALL)
+_FIELD = re.compile(r"\[\s*(insert|your|enter|add|hier|votre|su|inserte)\s.*?(\shere)?\s*\]", re.IGNORECASE | re.DOTALL)
+_VALUE = re.compile(r"\[object [A-Z]\w*\]|NaN|undefined|null")
+_WHOLE = re.compile(r"\[(?:First|Last|Full|Company|Your|User|Site|Customer)\s?[A-Z]?[a-z]*\]|%[sd]")
+
+
+def masked(placeholder: str) -> str:
+    """A candidate whose name is x, as names tell nothing; values and fields of letters stay."""
+    if _VALUE.fullmatch(placeholder) or _WHOLE.fullmatch(placeholder):
+        return placeholder
+    if m := _FIELD.fullmatch(placeholder):
+        return f"[{m[1]} x{m[2] or ''}]"
+    return _INNER.sub("x", placeholder, count=1)
+
+
+def _masked_counts(texts) -> np.ndarray:
+    out = np.zeros(BUCKETS)
+    for t in texts:
+        out += np.bincount(buckets(skeleton(CANDIDATE.sub(lambda m: masked(m.group()), t))), minlength=BUCKETS)
+    return out
+
+
+def _covered(size: int, at: np.ndarray) -> np.ndarray:
+    """Which of so many characters are in one of the windows that begin at these places."""
+    edge = np.zeros(size + WINDOW + 1, np.int32)
+    edge[at] += 1
+    edge[at + WINDOW] -= 1
+    return np.cumsum(edge)[:size] > 0
+
+
 class Residue:
     """The fitted ratios."""
 
-    def __init__(self, filler: np.ndarray, notice: np.ndarray, mention: np.ndarray):
-        self.filler, self.notice, self.mention = filler, notice, mention
+    def __init__(self, filler: np.ndarray, notice: np.ndarray, mention: np.ndarray, place: np.ndarray):
+        self.filler, self.notice, self.mention, self.place = filler, notice, mention, place
 
     def speaks(self, text: str, start: int, stop: int) -> bool:
         """Whether the sentence around text[start:stop] speaks of what stands there.
@@ -101,69 +139,120 @@ class Residue:
         around = skeleton(text[a:start] + " " + text[stop:b])
         return len(around) >= 30 and float(self.mention[buckets(around)].mean()) > MENTION_RATIO
 
-    def filler_spans(self, text: str) -> list[tuple[int, int]]:
-        """Where filler and placeholders stand that their sentence doesn't speak of."""
-        spans = [m.span() for m in PLACEHOLDER.finditer(text)] if _HINT.search(text) else []
-        lr = self.filler[buckets(skeleton(text))]
-        over = np.flatnonzero(_window_means(lr) > FILLER_RATIO)
+    def is_placeholder(self, text: str, start: int, stop: int) -> bool:
+        """Whether a candidate is likelier as a placeholder where one is filled in than as a part of prose."""
+        inside = masked(text[start:stop])
+        value = _VALUE.fullmatch(inside)  # these are words of prose as well: what stands around them counts
+        before, after = (text[max(0, start - PLACE_AROUND) : start], text[stop : stop + PLACE_AROUND]) if value else ("", (text[stop : stop + 1] or " "))
+        ratio = self.place[buckets(skeleton(before + inside + after))[len(before) : len(before) + len(inside) + (N - 1 if value else 1)]]
+        # what follows must not be a sign that it is a part of something else, such as a path
+        return float(ratio.mean()) > PLACE_RATIO and (bool(value) or not re.match(r"[\w/\\]", after) or ratio[-1] > -PLACE_RATIO)
+
+    def filler_spans(self, text: str, b: np.ndarray) -> list[tuple[int, int]]:
+        """Where filler and placeholders stand that their sentence doesn't speak of; b are the text's buckets."""
+        spans = [m.span() for m in CANDIDATE.finditer(text) if self.is_placeholder(text, *m.span())] if _HINT.search(text) else []
+        over = np.flatnonzero(_window_means(self.filler[b]) > FILLER_RATIO)
         if len(over):
             for part in np.split(over, np.flatnonzero(np.diff(over) > WINDOW) + 1):
                 spans.append((int(part[0]), min(len(text), int(part[-1]) + WINDOW)))
         return [s for s in spans if not self.speaks(text, *s)]
 
-    def coverage(self, text: str) -> tuple[float, float]:
-        """The shares of the text's characters in windows of a notice, and in windows of natural prose only."""
-        lr = self.notice[buckets(skeleton(text))]
-        m = _window_means(lr)
-        if len(lr) <= WINDOW:
-            return float(m[0] > NOTICE_RATIO), float(m[0] < PROSE_RATIO)
-        covered = []
-        for at in (np.flatnonzero(m > NOTICE_RATIO), np.flatnonzero(m < PROSE_RATIO)):
-            edge = np.zeros(len(lr) + 1)
-            edge[at] += 1
-            edge[at + WINDOW] -= 1
-            covered.append(np.cumsum(edge)[:-1] > 0)
-        return float(covered[0].mean()), float((covered[1] & ~covered[0]).mean())
-
-    def is_notice(self, text: str, least: float | None = None) -> bool:
+    def covered(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which characters are in windows of a notice, and which in windows of natural prose only."""
+        m = _window_means(self.notice[b])
+        if len(b) <= WINDOW:
+            return np.full(len(b), m[0] > NOTICE_RATIO), np.full(len(b), m[0] < PROSE_RATIO)
+        notice, prose = (_covered(len(b), np.flatnonzero(x)) for x in (m > NOTICE_RATIO, m < PROSE_RATIO))
+        return notice, prose & ~notice
+
+    def is_notice(self, text: str, b: np.ndarray, coverage: float = COVERAGE) -> bool:
         """Whether notices cover the text, what stands in neither kind of window left aside."""
         if next(islice(filter(str.isalpha, text), LEAST_LETTERS - 1, None), None) is None:
             return False
-        notice, prose = self.coverage(text)
-        return notice >= LEAST_NOTICE and notice >= (COVERAGE if least is None else least) * (notice + prose)
+        notice, prose = (float(x.mean()) for x in self.covered(b))
+        return notice >= LEAST_NOTICE and notice >= coverage * (notice + prose)
 
     def residue(self, title: str | None, text: str | None) -> str:
         """"filler", "notice" or ""."""
-        for t in (title, text):
-            if t and self.filler_spans(t):
-                return "filler"
-        if text and self.is_notice(text):
-            return "notice"
-        return ""
+        if title and self.filler_spans(title, buckets(skeleton(title))):
+            return "filler"
+        if not text:
+            return ""
+        b = buckets(skeleton(text))
+        return "filler" if self.filler_spans(text, b) else "notice" if self.is_notice(text, b) else ""
+
+    def sorted_buckets(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(buckets of the lines that are natural, of the text if it is a notice, of the lines that are filler)."""
+        b = buckets(skeleton(text))
+        none = b[:0]
+        if not len(b) or self.is_notice(text, b):
+            return none, b if len(b) and self.is_notice(text, b, LEARN_COVERAGE) else none, none
+        size = np.fromiter(map(len, text.split("\n")), np.int64) + 1
+        size[-1] -= 1
+        if not size[-1]:
+            size = size[:-1]
+        starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+        notice, prose = (np.add.reduceat(x.astype(np.int32), starts) / size for x in self.covered(b))
+        m = _window_means(self.filler[b])
+        sure = np.full(len(b), m[0] > FILLER_RATIO) if len(b) <= WINDOW else _covered(len(b), np.flatnonzero(m > FILLER_RATIO))
+        sure = np.add.reduceat(sure.astype(np.int32), starts) >= LEARN_COVERAGE * size
+        filler = np.full(len(b), m[0] > NATURAL_FILLER) if len(b) <= WINDOW else _covered(len(b), np.flatnonzero(m > NATURAL_FILLER))
+        if _HINT.search(text):
+            for found in CANDIDATE.finditer(text):
+                filler[found.start() : found.end()] = True
+        speaks = np.add.reduceat(self.mention[b], starts) / size
+        natural = ~np.logical_or.reduceat(filler, starts) & ~((notice >= LEAST_NOTICE) & (notice >= 0.5 * (notice + prose))) & (speaks <= NATURAL_MENTION)
+        return b[np.repeat(natural, size)], none, b[np.repeat(sure & (speaks <= NATURAL_MENTION), size)]
+
+
+_HINT = re.compile(r"[{}<%\[]|__|@@|NaN|null|undefined")
+
+
+def fit(samples: list[str], natural: np.ndarray | None = None, notices: np.ndarray | None = None, fillers: np.ndarray | None = None) -> Residue:
+    """From the seeds and the labelled clean samples, and from the n-grams of the corpus that a first fit found to be natural, notices or filler."""
+    filler, notice, mention = _counts(FILLER), _counts(NOTICE), _counts(MENTION)
+    content = _counts(CONTENT) * 4 + _counts(samples)
+    part = 1.0
+    if natural is not None and natural.any():
+        content, part = content + natural * min(1.0, NATURAL_WEIGHT / natural.sum()), 0.5
+    if notices is not None and notices.any():
+        notice = notice + notices * min(1.0, FOUND_WEIGHT * notice.sum() / notices.sum())
+    if fillers is not None and fillers.any():
+        filler = filler + fillers * min(1.0, FOUND_WEIGHT * filler.sum() / fillers.sum())
+    place = _ratio(_masked_counts(placeholders()), content + _masked_counts(CONTENT + MENTION) * 4)
+    return Residue(_ratio(filler, content + notice + mention), _ratio(notice, content + filler + mention * part), _ratio(mention, content), place)
 
 
-_HINT = re.compile(r"[{}<%\[]|__|@@|NaN|null null")
+_CLASSES = ("natural", "notice", "filler")
 
 
-def fit(samples: list[str], corpus: list[str]) -> Residue:
-    """From labelled clean samples, and those lines of the corpus sample that the seeds' first model finds natural."""
-    filler, notice, mention = _counts(FILLER), _counts(NOTICE), _counts(MENTION)
-    content = _counts(CONTENT) * 4 + _counts(samples)
-    first = Residue(_ratio(filler, content + notice + mention), _ratio(notice, content + filler + mention), _ratio(mention, content))
-    natural = content.copy()
-    for text in corpus:
-        if text and not first.is_notice(text, 0.5):
-            for line in text[:SAMPLE_CHARS].split("\n"):
-                if line and not first.filler_spans(line) and not first.is_notice(line, 0.5) and first.mention[buckets(skeleton(line))].mean() <= 0.3:
-                    natural += np.bincount(buckets(skeleton(line)), minlength=BUCKETS)
-    return Residue(_ratio(filler, natural + notice + mention), _ratio(notice, natural + filler + mention * 0.5), _ratio(mention, natural))
+def corpus_counts(rows: DataFrame, first: Residue) -> DataFrame:
+    """(bucket, natural, notice, filler): n-grams of all natural lines, all notices and all filler lines in rows (text); a row per bucket at most."""
+    shared = rows.sparkSession.sparkContext.broadcast(first)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, BUCKETS), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                parts = [shared.value.sorted_buckets(t) for t in batch.column(0).slice(at, 256).to_pylist() if t]
+                for k in range(3):
+                    if any(len(p[k]) for p in parts):
+                        total[k] += np.bincount(np.concatenate([p[k] for p in parts]), minlength=BUCKETS)
+        used = np.flatnonzero(total.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[0][used]), pa.array(total[1][used]), pa.array(total[2][used])], ["bucket", *_CLASSES])
+
+    each = spread(rows).mapInArrow(count, "bucket int, natural long, notice long, filler long")
+    return each.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in _CLASSES])
 
 
 def fitted(spark: SparkSession, d: str) -> Residue:
-    samples = [r.text for r in table(spark, d, "lang_samples", "text").dropna().limit(5000).collect()]
-    v = table(spark, d, "page_versions", "id", "text").where("text IS NOT NULL")
-    rows = bounded_sample(v.select("id", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")), "id", SAMPLE_ROWS)
-    return fit(samples, [r.text for r in rows])
+    samples = [text for _, text in labelled(spark, d)]
+    first = fit(samples)
+    got = corpus_counts(table(spark, d, "page_versions", "text").where("text IS NOT NULL"), first).toPandas()
+    counts = np.zeros((3, BUCKETS))
+    for k, c in enumerate(_CLASSES):
+        counts[k][got["bucket"]] = got[c]
+    return fit(samples, *counts)
 
 
 def classified(spark: SparkSession, d: str) -> DataFrame:
