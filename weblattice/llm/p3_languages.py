@@ -15,12 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from weblattice.llm.sampling import TRAIN_ROWS, labelled
 from weblattice.llm.words import WORD
 from weblattice.sources.tables import spread, table
 
 BITS, BUCKETS, NGRAMS, RIDGE = 15, 1 << 14, (1, 2, 3, 4), 0.02
-#: Labelled rows that the classifiers are fitted on, at most.
-TRAIN_ROWS = 5000
 #: A line counts as running text from so many words that are no names, or so many if it ends as a sentence does.
 RUNNING_WORDS, SENTENCE_WORDS = 6, 4
 #: Below this confidence a line is ambiguous and decides nothing.
@@ -107,7 +106,7 @@ class Classifier:
                 self._forget()
                 index = self.index
                 new = list(set(words))
-            b, owner = ngram_buckets([w[:40] for w in new])
+            b, owner = ngram_buckets(new)
             sums = np.zeros((len(new), BITS + 1), np.float32)
             for k in range(BITS):
                 sums[:, k] = np.bincount(owner, self.weights[b, k], len(new))
@@ -199,10 +198,11 @@ def segments(classifier: Classifier, text: str) -> list[tuple[int, int, str, flo
 
     Lines that are no running text, or ambiguous, belong to the stretch around them.
     """
-    return _segments(classifier, [text])[0]
+    return _segments(classifier, [text])[0][0]
 
 
-def _segments(classifier: Classifier, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+def _segments(classifier: Classifier, texts: list[str]) -> list[tuple[list, list]]:
+    """(stretches, ambiguous lines) of each text; an ambiguous line is (line, line, likeliest language, confidence)."""
     lines, where = [], []
     for k, t in enumerate(texts):
         for i, line in enumerate(t.split("\n"), 1):
@@ -210,11 +210,13 @@ def _segments(classifier: Classifier, texts: list[str]) -> list[list[tuple[int,
                 lines.append(w)
                 where.append((k, i))
     out: list[list] = [[] for _ in texts]
+    unsure: list[list] = [[] for _ in texts]
     if not lines or not classifier.languages:
-        return out
+        return list(zip(out, unsure))
     best, sure = classifier.lines(lines)
     for (k, i), b, p, w in zip(where, best.tolist(), sure.tolist(), lines):
         if p < SURE:
+            unsure[k].append((i, i, classifier.languages[b], p))
             continue
         lang, of = classifier.languages[b], out[k]
         if of and of[-1][2] == lang:
@@ -222,16 +224,16 @@ def _segments(classifier: Classifier, texts: list[str]) -> list[list[tuple[int,
             of[-1] = (a, i, lang, (q * n + p * len(w)) / (n + len(w)), n + len(w))
         else:
             of.append((i, i, lang, p, len(w)))
-    return [[x[:4] for x in of] for of in out]
+    return [([x[:4] for x in of], odd) for of, odd in zip(out, unsure)]
 
 
 def fitted(spark: SparkSession, d: str) -> Classifier:
-    rows = table(spark, d, "lang_samples", "lang", "text").dropna().orderBy("lang", "text").limit(TRAIN_ROWS).collect()
-    return fit([(r.lang, r.text) for r in rows])
+    """Fitted on at most TRAIN_ROWS samples, which make some 3 TRAIN_ROWS pieces: 0.2 GB of n-gram shares, a square matrix of 0.1 GB."""
+    return fit(labelled(spark, d, TRAIN_ROWS))
 
 
 def _scan(spark: SparkSession, d: str, schema: str, make) -> DataFrame:
-    """make(label, segments) gives the rows of a document without its id."""
+    """make(label, stretches, ambiguous lines) gives the rows of a document without its id."""
     shared = spark.sparkContext.broadcast(fitted(spark, d))
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]] for c in schema.split(", ")]
@@ -242,30 +244,30 @@ def _scan(spark: SparkSession, d: str, schema: str, make) -> DataFrame:
             ids, labels, texts = (batch.column(i) for i in range(3))
             for at in range(0, len(ids), 256):
                 found = _segments(classifier, [t or "" for t in texts.slice(at, 256).to_pylist()])
-                rows = [(i, *row) for i, label, s in zip(ids.slice(at, 256).to_pylist(), labels.slice(at, 256).to_pylist(), found) for row in make(label, s)]
+                rows = [(i, *row) for i, label, s in zip(ids.slice(at, 256).to_pylist(), labels.slice(at, 256).to_pylist(), found) for row in make(label, *s)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return spread(table(spark, d, "documents", "doc_id", "lang", "text")).mapInArrow(scan, schema)
 
 
-def _found(label, stretches):
+def _found(label, stretches, _unsure):
     langs = {s[2] for s in stretches}
     return [(x,) for x in sorted(langs)] if len(langs) > 1 or normal_label(label) not in langs else []
 
 
-def _segment_rows(label, stretches):
-    return stretches
+def _segment_rows(_label, stretches, unsure):
+    return [(*x, False) for x in stretches] + [(*x, True) for x in unsure]
 
 
-def _document_rows(label, stretches):
+def _document_rows(label, stretches, unsure):
     if not stretches:
-        return [(None, None, normal_label(label), False)]
+        return [(None, None, normal_label(label), False, len(unsure))]
     size: dict[str, float] = {}
     for a, b, lang, p in stretches:
         size[lang] = size.get(lang, 0.0) + (b - a + 1) * p
     best = max(sorted(size), key=size.get)
-    return [(best, size[best] / sum(b - a + 1 for a, b, _, _ in stretches), normal_label(label), len(size) > 1)]
+    return [(best, size[best] / sum(b - a + 1 for a, b, _, _ in stretches), normal_label(label), len(size) > 1, len(unsure))]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -277,13 +279,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Each stretch of lines in one language, with a confidence."""
-    return _scan(spark, d, "doc_id long, first_line int, last_line int, lang string, confidence double", _segment_rows)
+    """Each stretch of lines in one language, with a confidence, and each line whose nearest codeword is not clear, flagged as ambiguous."""
+    return _scan(spark, d, "doc_id long, first_line int, last_line int, lang string, confidence double, ambiguous boolean", _segment_rows)
 
 
 def p3_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with its main language (null without running text), its confidence and what its label means."""
-    return _scan(spark, d, "doc_id long, lang string, confidence double, label string, mixed boolean", _document_rows)
+    """Every document with its main language (null without running text), its confidence, what its label means and how many lines are ambiguous."""
+    return _scan(spark, d, "doc_id long, lang string, confidence double, label string, mixed boolean, ambiguous_lines int", _document_rows)
 
 
 QUERIES = {"p3_found": p3_found, "p3_segments": p3_segments, "p3_documents": p3_documents}
