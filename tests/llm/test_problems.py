@@ -258,6 +258,19 @@ def test_a_line_that_is_common_elsewhere_too_goes_by_its_counts(spark, folder):
     assert found == {(i, 2) for i, (s, has) in enumerate(placed) if has and s == 2}
 
 
+def test_the_false_discovery_rate_decides_what_is_excess(spark):
+    own = random.Random(5)
+    pages = [(i, 1 + i % 20) for i in range(2000)]
+    # line 1: half of the pages of site 1; line 2: 6 of its 100 pages; line 3: 6 pages of it and one of every fourth other page, once a site
+    rows = [(s, p, 1, 1) for p, s in pages if s == 1 and p % 40 == 20] + [(1, p, 2, 2) for p, s in pages if s == 1][:6]
+    rows += [(1, p, 3, 3) for p, s in pages if s == 1][:6] + [(s, s - 1, 3, 3) for s in range(2, 20)]
+    rows += [(s, p, 10 + own.randrange(10**6), 0) for p, s in pages for _ in range(3)]
+    keyed, ps = spark.createDataFrame(rows, "site_id long, page_id long, k1 long, k2 long"), spark.createDataFrame(pages, "page_id long, site_id long")
+    lines = lambda **how: {(r.site_id, r.k1) for r in p6_lines.excess_lines(keyed, ps, **how).where("k1 < 10").collect()}
+    strict, usual = lines(fdr=1e-12, at_most=float("inf")), lines(fdr=1e-4, at_most=float("inf"))
+    assert strict == {(1, 1)} and usual == {(1, 1), (1, 2)} and usual <= lines() <= lines(fdr=1.0)
+
+
 # ---- 7
 
 
