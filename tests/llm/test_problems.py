@@ -371,3 +371,21 @@ def test_blanks_after_a_cut_of_any_length(spark, folder):
     texts = {1: "One sentence. The text stops in the mid" + " \n" * 500, 2: "One sentence. It ends." + " " * 900, 3: " \n" * 600}
     d = folder(documents=[{"doc_id": i, "source": "s", "text": t} for i, t in texts.items()])
     assert {r.doc_id for r in p10_truncation.p10_found(spark, d).collect()} == {1}
+
+
+def test_neighbouring_hazards_have_their_own_survivors(spark):
+    own = random.Random(11)
+    sizes = [own.choice([own.randrange(1, 60), own.randrange(200, 900), 300, 3]) for _ in range(500)]
+    ends = spark.createDataFrame([("s", n, 5, i) for i, n in enumerate(sizes)], "source string, chars int, bytes int, same long")
+    got = {r.size: (r.n_near, r.risk_near) for r in p10_truncation.hazards(ends).where("unit = 'chars'").collect()}
+    count = Counter(sizes)
+    for s in count:
+        lengths = [x for x in range(s - p10_truncation.FAR, s + p10_truncation.FAR + 1) if x >= 1 and p10_truncation.NEAR <= abs(x - s)]
+        assert got[s] == (sum(count[x] for x in lengths), max(1, sum(n >= x for x in lengths for n in sizes)))
+
+
+def test_last_lines_of_any_length(spark, folder):
+    aside = "(an aside " + "that goes on and on " * 60 + "to its end)"
+    texts = {1: "One sentence.\n" + aside, 2: "One sentence.\n" + aside[:-1], 3: "One sentence.\n" + "word " * 400 + "(open" + " word" * 300 + "."}
+    d = folder(documents=[{"doc_id": i, "source": "s", "text": t} for i, t in texts.items()])
+    assert {r.doc_id for r in p10_truncation.p10_found(spark, d).collect()} == {2, 3}
