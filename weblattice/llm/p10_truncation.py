@@ -74,7 +74,9 @@ def hazards(ends: DataFrame) -> DataFrame:
     texts = ends.select(F.coalesce("source", F.lit("")).alias("source"), "chars", "bytes", "same").distinct()
     sizes = texts.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("x")).groupBy("source", F.col("x.unit").alias("unit"), F.col("x.size").alias("size")).agg(F.count("*").alias("n"))
     of = Window.partitionBy("source", "unit").orderBy("size")
-    survivors = lambda first: F.coalesce(F.sum("n").over(of.rangeBetween(first, Window.unboundedFollowing)), F.lit(0))
+    # from the longest down: such a frame only grows, while one without an end would be summed anew for each length
+    down = Window.partitionBy("source", "unit").orderBy(F.desc("size"))
+    survivors = lambda first: F.coalesce(F.sum("n").over(down.rangeBetween(Window.unboundedPreceding, -first)), F.lit(0))
     h = sizes.withColumn("size", F.col("size").cast("long")).withColumn("before", F.coalesce(F.lag("size").over(of), F.lit(0))).withColumn("at_risk", survivors(0))
     h = h.withColumn("trials", F.col("at_risk") * (F.col("size") - F.col("before")))  # one at each length since the last one at which a text ended
     near, risk = [], []
