@@ -1,11 +1,10 @@
 """Problem 4: page versions whose texts agree but for small edits.
 
-Each text gets a signature of COORDINATES coordinates, each of which combines JOINED minima of
-permuted shingle hashes. Texts are posted under (coordinate, value); the self-join of the postings
-counts collisions per pair, pairs with MATCHES or more are candidates, and these are verified on their exact
-shingle sets. Equal texts are posted once. Single minima won't do: phrases that half of all texts have give lists so long
-that their joins grow with the square of the corpus; three joined minima make such lists short, and as a prefix of all but
-MATCHES - 1 postings would save one in 24, all are joined and counted.
+Each text gets a signature of COORDINATES coordinates, each of which combines JOINED minima of permuted shingle hashes. Texts are posted
+under (coordinate, value), and the lists of postings are joined with themselves. A pair is kept that collides in MATCHES coordinates or
+more. Such a pair collides in the prefix of either text, its COORDINATES - MATCHES + 1 shortest lists: only these are merged, the MATCHES - 1
+longest are skipped, and the collisions of the pairs so found are counted on the signatures. Kept pairs are verified on their exact
+shingle sets. Equal texts are posted once.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weblattice.llm.linking import hash_to_min
 from weblattice.llm.words import WordHashes, shingle_hashes, words
@@ -22,8 +21,10 @@ from weblattice.session import cut
 from weblattice.sources.tables import spread, table
 
 SHINGLE, THRESHOLD, MIN_CHARS = 3, 0.7, 200
-#: A pair at the threshold collides in a coordinate with probability 0.7 ** 3 = 0.34; fewer than 2 of 24 collisions happen in 6 of 10,000 such pairs.
-COORDINATES, JOINED, MATCHES = 24, 3, 2
+#: A pair at the threshold collides in a coordinate with probability 0.7 ** 2 = 0.49; fewer than 6 of 32 collisions happen in 1 of 10,000 such pairs.
+COORDINATES, JOINED, MATCHES = 32, 2, 6
+#: Texts of a list that are merged in one part.
+BLOCK = 1000
 
 _rng = np.random.default_rng(4)
 _MUL = (_rng.integers(1, 2**63, COORDINATES * JOINED, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -87,14 +88,26 @@ def members(sig: DataFrame) -> DataFrame:
 
 
 def candidates(sig: DataFrame) -> DataFrame:
-    """(a, b), a < b: representatives that collide in MATCHES coordinates or more and are not all of one page."""
+    """(a, b), a < b: representatives that collide in MATCHES coordinates or more and are not all of one page.
+
+    Lists of one text are dropped before anything is joined. A list of more than BLOCK texts is dealt out in parts, so that no task merges all of it.
+    """
     first = F.element_at("sig", 1)
     reps = sig.groupBy("same", first.alias("s1")).agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("rep"), F.min("page_id").alias("lo"), F.max("page_id").alias("hi"))
     # the page that all copies are of, or else the representative's id made negative, which equals no other
-    post = reps.select("rep", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.col("rep") - 1).alias("only"), F.explode("sig").alias("key"))
-    a, b = post.toDF("a", "only_a", "key"), post.toDF("b", "only_b", "key")
-    hits = a.join(b, "key").where("a < b AND only_a <> only_b")
-    return hits.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MATCHES).select("a", "b")
+    reps = cut(reps.select("rep", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.col("rep") - 1).alias("only"), "sig"))
+    posts = reps.select("rep", "only", F.explode("sig").alias("key"))
+    lists = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    listed = posts.join(lists, "key")
+    # lists in one order for all texts; lists of one text come before these and take their places in the prefix
+    ranked = listed.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), F.desc("key"))))
+    prefix = ranked.where(F.col("place") >= MATCHES).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    a = prefix.select(F.col("rep").alias("a"), F.col("only").alias("only_a"), "key", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
+    b = prefix.select(F.col("rep").alias("b"), F.col("only").alias("only_b"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    hits = a.join(b, ["key", "part"]).where("a < b AND only_a <> only_b").select("a", "b").distinct()
+    both = hits.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+    same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return both.where(same >= MATCHES).select("a", "b")
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +129,9 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, versions: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard) of the pairs whose distinct shingles agree by threshold or more."""
-    text = versions.where(F.length("text") >= MIN_CHARS).select("id", "text")
+    pairs = cut(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    text = cut(versions.where(F.length("text") >= MIN_CHARS).select("id", "text").join(wanted, "id", "left_semi"))  # only these texts move
     both = pairs.join(text.toDF("a", "text_a"), "a").join(text.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_jaccard, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)
 
