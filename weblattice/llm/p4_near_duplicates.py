@@ -80,32 +80,49 @@ def signed(versions: DataFrame) -> DataFrame:
     return cut(spread(long).mapInArrow(_sign, "id long, page_id long, same long, sig array<long>"))
 
 
-def members(sig: DataFrame) -> DataFrame:
+def copies(sig: DataFrame) -> DataFrame:
+    """(id, rep, lo, hi) of the signed versions whose words another one has too: the least of them, and the least and largest of their pages."""
+    named = sig.select("id", "page_id", "same", F.element_at("sig", 1).alias("s1"))
+    groups = named.groupBy("same", "s1").agg(F.count("*").alias("n"), F.min("id").alias("rep"), F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).where("n > 1")
+    return cut(named.select("id", "same", "s1").join(groups.drop("n"), ["same", "s1"]).select("id", "rep", "lo", "hi"))
+
+
+def members(sig: DataFrame, copied: DataFrame) -> DataFrame:
     """(rep, id, page_id): every signed version with the least version of the same words."""
-    first = F.element_at("sig", 1)
-    least = sig.groupBy("same", first.alias("s1")).agg(F.min("id").alias("rep"))
-    return sig.withColumn("s1", first).join(least, ["same", "s1"]).select("rep", "id", "page_id")
+    return sig.select("id", "page_id").join(copied.select("id", "rep"), "id", "left").select(F.coalesce("rep", "id").alias("rep"), "id", "page_id")
+
+
+def _merged(prefix: DataFrame) -> DataFrame:
+    """(a, b), a < b, of the texts of each list of prefix (rep, key, n).
+
+    Lists of more than BLOCK texts are dealt out in parts, so that no task merges all of such a list; the others are joined as they are,
+    whose exchange serves both sides.
+    """
+    short = prefix.where(F.col("n") <= BLOCK).select("rep", "key")
+    few = short.toDF("a", "key").join(short.toDF("b", "key"), "key").where("a < b").select("a", "b")
+    long = prefix.where(F.col("n") > BLOCK).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    a = long.select(F.col("rep").alias("a"), "key", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
+    b = long.select(F.col("rep").alias("b"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return few.unionByName(a.join(b, ["key", "part"]).where("a < b").select("a", "b")).distinct()
 
 
-def candidates(sig: DataFrame) -> DataFrame:
+def candidates(sig: DataFrame, copied: DataFrame) -> DataFrame:
     """(a, b), a < b: representatives that collide in MATCHES coordinates or more and are not all of one page.
 
-    Lists of one text are dropped before anything is joined. A list of more than BLOCK texts is dealt out in parts, so that no task merges all of it.
+    Lists of one text are dropped before anything is joined. Signatures stay where they are but for those of the pairs found.
     """
-    first = F.element_at("sig", 1)
-    reps = sig.groupBy("same", first.alias("s1")).agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("rep"), F.min("page_id").alias("lo"), F.max("page_id").alias("hi"))
     # the page that all copies are of, or else the representative's id made negative, which equals no other
-    reps = cut(reps.select("rep", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.col("rep") - 1).alias("only"), "sig"))
-    posts = reps.select("rep", "only", F.explode("sig").alias("key"))
+    only = F.when(F.coalesce("lo", "page_id") == F.coalesce("hi", "page_id"), F.coalesce("lo", "page_id")).otherwise(-F.col("id") - 1)
+    reps = sig.join(copied, "id", "left").where("rep IS NULL OR rep = id").select(F.col("id").alias("rep"), only.alias("only"), "sig")
+    posts = reps.select("rep", F.explode("sig").alias("key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    listed = posts.join(lists, "key")
-    # lists in one order for all texts; lists of one text come before these and take their places in the prefix
-    ranked = listed.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), F.desc("key"))))
-    prefix = ranked.where(F.col("place") >= MATCHES).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    a = prefix.select(F.col("rep").alias("a"), F.col("only").alias("only_a"), "key", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
-    b = prefix.select(F.col("rep").alias("b"), F.col("only").alias("only_b"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    hits = a.join(b, ["key", "part"]).where("a < b AND only_a <> only_b").select("a", "b").distinct()
-    both = hits.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+    # lists in one order for all texts; those of one text, which are left out, would be the shortest
+    longest_first = Window.partitionBy("rep").orderBy(F.desc("n"), F.desc("key"))
+    prefix = cut(posts.join(lists, "key").withColumn("place", F.row_number().over(longest_first)).where(F.col("place") >= MATCHES).select("rep", "key", "n"))
+    hits = cut(_merged(prefix))
+    ends = hits.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    found = reps.join(ends, "rep", "left_semi")
+    both = hits.join(found.toDF("a", "only_a", "sig_a"), "a").join(found.toDF("b", "only_b", "sig_b"), "b").where("only_a <> only_b")
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     return both.where(same >= MATCHES).select("a", "b")
 
@@ -139,7 +156,8 @@ def verified(pairs: DataFrame, versions: DataFrame, threshold: float = THRESHOLD
 def near_duplicates(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives that agree, membership of every version in its group of equal texts)."""
     sig = signed(versions)
-    return verified(candidates(sig), versions), members(sig)
+    copied = copies(sig)
+    return verified(candidates(sig, copied), versions), members(sig, copied)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
