@@ -182,6 +182,18 @@ def test_signature_collisions_follow_similarity():
         assert abs((s[0] == s[1]).mean() - (keep / 1000) ** 3) < 0.35
 
 
+def test_skipped_lists_and_parts_lose_no_candidate(spark, monkeypatch):
+    own, n = random.Random(8), p4_near_duplicates.COORDINATES
+    # common values make long lists; texts of one family share most of the others
+    sigs = [[own.choice([c, c, 1000 * (i // 6) + c, own.getrandbits(40) + 10**6]) for c in range(n)] for i in range(90)]
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if sum(x == y for x, y in zip(sigs[i], sigs[j])) >= p4_near_duplicates.MATCHES}
+    sig = spark.createDataFrame([(i, i, i, s) for i, s in enumerate(sigs)], "id long, page_id long, same long, sig array<long>")
+    for block in (p4_near_duplicates.BLOCK, 7):
+        monkeypatch.setattr(p4_near_duplicates, "BLOCK", block)
+        got = {tuple(r) for r in p4_near_duplicates.candidates(sig, p4_near_duplicates.copies(sig)).collect()}
+        assert got == want and 100 < len(want) < 4005
+
+
 # ---- 5
 
 

@@ -2,8 +2,9 @@
 
 Each text gets a signature of COORDINATES coordinates, each of which combines JOINED minima of permuted shingle hashes. Texts are posted
 under (coordinate, value), and the lists of postings are joined with themselves. A pair is kept that collides in MATCHES coordinates or
-more. Such a pair collides in the prefix of either text, its COORDINATES - MATCHES + 1 shortest lists: only these are merged, the MATCHES - 1
-longest are skipped, and the collisions of the pairs so found are counted on the signatures. Kept pairs are verified on their exact
+more. The SKIPPED longest lists of a text are not merged, only its prefix of the others. As lists have one order for all texts, the
+shared list of rank r, from the longest, has at least rank r in either text: all but SKIPPED of a pair's collisions are in both prefixes. So
+pairs with MATCHES - SKIPPED collisions there are probed on their signatures, and lose none. Kept pairs are verified on their exact
 shingle sets. Equal texts are posted once.
 """
 
@@ -23,6 +24,8 @@ from weblattice.sources.tables import spread, table
 SHINGLE, THRESHOLD, MIN_CHARS = 3, 0.7, 200
 #: A pair at the threshold collides in a coordinate with probability 0.7 ** 2 = 0.49; fewer than 6 of 32 collisions happen in 1 of 10,000 such pairs.
 COORDINATES, JOINED, MATCHES = 32, 2, 6
+#: Longest lists of a text that are skipped. The more, the fewer are merged, but the less the collisions in the prefix tell.
+SKIPPED = 3
 #: Texts of a list that are merged in one part.
 BLOCK = 1000
 
@@ -93,7 +96,7 @@ def members(sig: DataFrame, copied: DataFrame) -> DataFrame:
 
 
 def _merged(prefix: DataFrame) -> DataFrame:
-    """(a, b), a < b, of the texts of each list of prefix (rep, key, n).
+    """(a, b), a < b, of the texts that have MATCHES - SKIPPED lists of prefix (rep, key, n) in common.
 
     Lists of more than BLOCK texts are dealt out in parts, so that no task merges all of such a list; the others are joined as they are,
     whose exchange serves both sides.
@@ -103,7 +106,7 @@ def _merged(prefix: DataFrame) -> DataFrame:
     long = prefix.where(F.col("n") > BLOCK).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
     a = long.select(F.col("rep").alias("a"), "key", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
     b = long.select(F.col("rep").alias("b"), "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return few.unionByName(a.join(b, ["key", "part"]).where("a < b").select("a", "b")).distinct()
+    return few.unionByName(a.join(b, ["key", "part"]).where("a < b").select("a", "b")).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MATCHES - SKIPPED).select("a", "b")
 
 
 def candidates(sig: DataFrame, copied: DataFrame) -> DataFrame:
@@ -118,7 +121,7 @@ def candidates(sig: DataFrame, copied: DataFrame) -> DataFrame:
     lists = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # lists in one order for all texts; those of one text, which are left out, would be the shortest
     longest_first = Window.partitionBy("rep").orderBy(F.desc("n"), F.desc("key"))
-    prefix = cut(posts.join(lists, "key").withColumn("place", F.row_number().over(longest_first)).where(F.col("place") >= MATCHES).select("rep", "key", "n"))
+    prefix = cut(posts.join(lists, "key").withColumn("place", F.row_number().over(longest_first)).where(F.col("place") > SKIPPED).select("rep", "key", "n"))
     hits = cut(_merged(prefix))
     ends = hits.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     found = reps.join(ends, "rep", "left_semi")
