@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Upper bounds of the latency histogram, in seconds.
 BUCKETS = (0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 30.0, 60.0, 90.0, 120.0)
+#: Fixed value: outcomes that are no fault of a proxy, as a matcher.
+ANSWERED = "ok|http_error"
 POINTS, LEAST_STEP, MAX_HOURS, DEFAULT_HOURS = 300, 15, 168, 6
 
 #: Series by name: (metric, kind, seconds of the range, labels summed by, matcher, quantile).
@@ -117,9 +119,9 @@ def from_log(log: DataFrame) -> DataFrame:
 
 
 def error_ratio(samples: DataFrame, step: int) -> DataFrame:
-    """(t, proxy, value): fetches that weren't ok per all fetches, by proxy; none where there were none."""
+    """(t, proxy, value): fetches without an answer per all fetches, by proxy; none where there were none. An HTTP error is an answer."""
     mine = samples.where("metric = 'crawler_fetches_total'").withColumn("series", F.to_json(F.array_sort(F.map_entries("labels"))))
     r = rates(mine, ["series"], 300)
     t = (F.floor(F.col("sec") / step) * step).cast("long").alias("t")
-    x = r.groupBy(t, label("proxy").alias("proxy")).agg(F.sum(F.when(label("outcome") != "ok", F.col("rate")).otherwise(0.0)).alias("bad"), F.sum("rate").alias("all"))
+    x = r.groupBy(t, label("proxy").alias("proxy")).agg(F.sum(F.when(matches("outcome", "!~", ANSWERED), F.col("rate")).otherwise(0.0)).alias("bad"), F.sum("rate").alias("all"))
     return x.select("t", "proxy", F.when(F.col("all") > 0, F.col("bad") / F.col("all")).alias("value"))

@@ -132,10 +132,11 @@ SELECT page_id, score, (SELECT count(*) FROM b) AS total FROM b ORDER BY score D
 _COUNTED = "n AS (SELECT date_trunc('hour', ts) AS t, outcome, count(*) AS n FROM fetch_log WHERE ts > (SELECT max(ts) FROM fetch_log) - INTERVAL 3 DAY GROUP BY 1, 2)"
 
 
-
 def _routed(c: Crawl) -> DataFrame:
     """The sites to purge of those whose pages hold a term."""
     return state.route(c.versions.join(c.pages.select(F.col("id").alias("page_id"), "site_id"), "page_id").withColumn("outcome", F.lit("ok")), F.lower("text").contains("lantern"))
+
+
 _ALL = {
     # sources and sinks
     "src_query": (lambda c: c.spark.sql("SELECT id, url FROM {p} WHERE depth = :depth", args={"depth": 1}, p=c.pages), "SELECT id, url FROM pages WHERE depth = 1"),
@@ -186,7 +187,7 @@ _ALL = {
     "a_count_distinct": (lambda c: c.log.groupBy("site_id").agg(F.count_distinct("url_hash").alias("urls"), F.count_distinct("proxy").alias("proxies")), "SELECT site_id, count(DISTINCT url_hash) AS urls, count(DISTINCT proxy) AS proxies FROM fetch_log GROUP BY 1"),
     "a_count_distinct_row": (lambda c: c.entities.groupBy("site_id").agg(F.count_distinct(F.struct("kind", "value")).alias("n")), "SELECT site_id, count(DISTINCT (kind, value)) AS n FROM entities GROUP BY 1"),
     "a_minmax": (lambda c: c.versions.groupBy("page_id").agg(F.min("fetched_at").alias("first"), F.max("fetched_at").alias("last")), "SELECT page_id, min(fetched_at) AS first, max(fetched_at) AS last FROM page_versions GROUP BY 1"),
-    "a_array_agg_distinct": (lambda c: c.entities.where("kind IN ('pgp', 'email')").groupBy("kind", "value").agg(F.array_sort(F.collect_set("site_id")).alias("sites")).where(F.size("sites").between(2, 18)), "SELECT kind, value, list_sort(list(DISTINCT site_id)) AS sites FROM entities WHERE kind IN ('pgp', 'email') GROUP BY 1, 2 HAVING count(DISTINCT site_id) BETWEEN 2 AND 18"),
+    "a_array_agg_distinct": (lambda c: _gathered(c), "SELECT kind, value, list_sort(list(DISTINCT site_id)) AS sites FROM entities WHERE kind IN ('pgp', 'email') GROUP BY 1, 2 HAVING count(DISTINCT site_id) BETWEEN 2 AND 18"),
     "a_string_agg_distinct": (lambda c: c.entities.groupBy("site_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")), "SELECT site_id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM entities GROUP BY 1"),
     "a_last_by": (lambda c: c.log.groupBy("site_id").agg(F.max_by("outcome", F.struct("ts", "outcome")).alias("last")), "SELECT site_id, max_by(outcome, (ts, outcome)) AS last FROM fetch_log GROUP BY 1"),
     "a_percentile_cont": (lambda c: c.log.where("latency_ms IS NOT NULL").groupBy("outcome").agg(F.round(F.percentile("latency_ms", 0.5), 6).alias("p50"), F.round(F.percentile("latency_ms", 0.99), 6).alias("p99")), "SELECT outcome, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.99), 6) AS p99 FROM fetch_log WHERE latency_ms IS NOT NULL GROUP BY 1"),
@@ -263,7 +264,7 @@ UNION ALL SELECT id, 'eth', lower(unnest(regexp_extract_all(text, '\b0x[a-fA-F0-
     "q_prom_fetch_rate": (lambda c: _series(c, "fetch_rate", 24), f"WITH {_RATES.format(where=_LAST_DAY)}, s AS (SELECT (sec // 288) * 288 AS t, outcome, proxy, avg(rate) AS rate FROM r GROUP BY 1, 2, 3) SELECT outcome AS name, t, round(sum(rate), 9) AS value FROM s GROUP BY 1, 2"),
     "q_prom_latency": (lambda c: _series(c, "latency", 24), None),
     "a_hist_quantile": (lambda c: _quantiles(c), _QUANTILE),
-    "a_ratio": (lambda c: metrics.error_ratio(metrics.from_log(c.log), 3600).withColumn("value", F.round("value", 9)), f"WITH {_RATES.format(where='')} SELECT (sec // 3600) * 3600 AS t, proxy, CASE WHEN sum(rate) > 0 THEN round(sum(CASE WHEN outcome <> 'ok' THEN rate ELSE 0 END) / sum(rate), 9) END AS value FROM r GROUP BY 1, 2"),
+    "a_ratio": (lambda c: metrics.error_ratio(metrics.from_log(c.log), 3600).withColumn("value", F.round("value", 9)), f"WITH {_RATES.format(where='')} SELECT (sec // 3600) * 3600 AS t, proxy, CASE WHEN sum(rate) > 0 THEN round(sum(CASE WHEN outcome NOT IN ('ok', 'http_error') THEN rate ELSE 0 END) / sum(rate), 9) END AS value FROM r GROUP BY 1, 2"),
     "a_rate": (lambda c: _rates(c), f"WITH {_RATES.format(where='')} SELECT ts, outcome, proxy, round(rate, 9) AS rate FROM r"),
     "w_rolling_rate": (lambda c: _rates(c).where("rate > 0"), f"WITH {_RATES.format(where='')} SELECT ts, outcome, proxy, round(rate, 9) AS rate FROM r WHERE round(rate, 9) > 0"),
     # other names of the inventory
@@ -276,7 +277,7 @@ r1 AS (SELECT id FROM both_ WHERE x = 2 AND id <> 2 GROUP BY 1 ORDER BY sum(n_li
 r2 AS (SELECT id, row_number() OVER (ORDER BY sum(n_links) DESC, id) AS pos FROM both_ WHERE x IN (SELECT id FROM r1) AND id NOT IN (SELECT id FROM c1) GROUP BY 1)
 SELECT 2::BIGINT AS id, 0 AS ring UNION ALL SELECT id, 1 FROM r1 UNION ALL SELECT id, 2 FROM r2 WHERE pos <= 30 - (SELECT count(*) FROM c1)"""),
     "g_similar": (lambda c: x.similar(c, 3, 28), "WITH homes AS (SELECT p.site_id AS id, p.id AS page_id, v.simhash, length(v.text) AS chars FROM pages p JOIN page_versions v ON v.id = p.current_version_id WHERE p.depth = 0), me AS (SELECT simhash FROM homes WHERE id = 3 ORDER BY page_id LIMIT 1) SELECT s.id, s.onion, coalesce(s.title, '') AS title, s.status, bit_count(xor(h.simhash, me.simhash)) AS distance FROM me, homes h JOIN sites s ON s.id = h.id WHERE h.id <> 3 AND h.chars >= 200 AND bit_count(xor(h.simhash, me.simhash)) <= 28 ORDER BY distance, s.id LIMIT 50"),
-    "a_sum_by": (lambda c: c.log.groupBy("proxy").agg(F.sum(F.col("bytes").cast("long")).alias("bytes")), "SELECT proxy, CAST(sum(bytes) AS BIGINT) AS bytes FROM fetch_log GROUP BY 1"),
+    "a_sum_by": (lambda c: _summed(c), f"WITH {_RATES.format(where='')}, s AS (SELECT (sec // 900) * 900 AS t, outcome, proxy, avg(rate) AS rate FROM r WHERE outcome IN ('content_type', 'too_large', 'sniff') GROUP BY ALL) SELECT t, proxy, round(sum(rate), 9) AS value FROM s GROUP BY ALL"),
 }
 
 
@@ -325,6 +326,20 @@ def _rates(c: Crawl) -> DataFrame:
     return metrics.rates(mine, ["outcome", "proxy"], 300).select("ts", "outcome", "proxy", F.round("rate", 9).alias("rate"))
 
 
+def _summed(c: Crawl) -> DataFrame:
+    """Refused fetches per second and proxy, in steps of 15 minutes."""
+    mine = metrics.from_log(c.log).where("metric = 'crawler_fetches_total'").where(metrics.matches("outcome", "=~", "content_type|too_large|sniff"))
+    mine = mine.withColumn("series", F.to_json(F.array_sort(F.map_entries("labels"))))
+    return metrics.sum_by(metrics.rates(mine, ["series"], 300), ("proxy",), 900).withColumn("value", F.round("value", 9))
+
+
+def _gathered(c: Crawl) -> DataFrame:
+    """The sites of each key or mailbox on 2 to 18 of them; values are counted first, so that no value's sites beyond 18 are gathered."""
+    e = c.entities.where("kind IN ('pgp', 'email')").select("kind", "value", "site_id").distinct()
+    few = e.groupBy("kind", "value").agg(F.count("site_id").alias("n")).where("n BETWEEN 2 AND 18").select("kind", "value")
+    return e.join(few, ["kind", "value"], "left_semi").groupBy("kind", "value").agg(F.array_sort(F.collect_list("site_id")).alias("sites"))
+
+
 def _q(f):
     return lambda spark, d: f(Crawl(spark, d))
 

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # files of checkpoints that nothing refers to any more are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -24,20 +26,28 @@ def session(master: str | None = None, app: str = "weblattice", **conf: str) ->
         b = b.master(master)
     for k, v in {**DEFAULTS, **conf}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    share_package(spark)
+    return spark
+
+
+class NoSharedFolder(RuntimeError):
+    """A cluster that names no folder for checkpoints."""
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder is made.
+    A cluster names it in ``spark.checkpoint.dir``; only on a local master, where driver and executors are one process, a temporary
+    folder takes its place. Elsewhere its lack is an error, as other machines could not read such a folder.
     """
     sc = spark.sparkContext
     now = sc.getCheckpointDir()
     if now:
         return now
     named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise NoSharedFolder("spark.checkpoint.dir must name a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weblattice-ckpt-"))
     return sc.getCheckpointDir()
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weblattice.functions.fetching import ALIVE
 from weblattice.plans.crawl import Crawl
 from weblattice.session import cut, ensure_checkpoint_dir
 from weblattice.streaming import streams
@@ -51,7 +52,7 @@ def liveness(spark: SparkSession, d: str) -> DataFrame:
     return r.select("site_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "consecutive_failures", F.col("last_ok").cast("timestamp_ntz").alias("last_ok"))
 
 
-_ALIVE = "('ok','http_error','content_type','too_large','sniff','refused','redirect_offsite','redirect_limit','redirect_blocked')"
+_ALIVE = "(" + ", ".join(f"'{x}'" for x in ALIVE) + ")"
 QUERIES = {"st_fetch_rate": fetch_rate, "st_activity": activity, "st_dedupe": deduplicated, "st_liveness": liveness}
 SQL = {
     "st_fetch_rate": "SELECT t, outcome, count(*) AS n FROM (SELECT outcome, unnest(generate_series(date_trunc('minute', ts) + INTERVAL 1 MINUTE, date_trunc('minute', ts) + INTERVAL 5 MINUTE, INTERVAL 1 MINUTE)) AS t FROM fetch_log) GROUP BY 1, 2",
