@@ -104,3 +104,15 @@ def test_operator_edges_have_both_bounds(spark):
     got = graph.operator_edges(spark.createDataFrame(rows, "kind string, value string, site_id long"))
     assert [tuple(r) for r in got.collect()] == [(1, 2)]
     assert got.where(F.col("a") > F.col("b")).count() == 0
+
+
+def test_an_analysis_replaces_the_last_one(spark):
+    import datetime as dt
+
+    t0, t1 = dt.datetime(2025, 1, 1), dt.datetime(2025, 1, 2)
+    ddl = "site_id long, pagerank double, component int, operator int"
+    old = spark.createDataFrame([(i, 0.1, 0, None, t0) for i in (1, 2, 9)], ddl + ", updated_at timestamp_ntz")
+    new, sites = spark.createDataFrame([(1, 0.5, 0, 1), (3, 0.5, 1, None), (8, 0.9, 1, None)], ddl), spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    now = F.lit(t1).cast("timestamp_ntz")
+    assert {(r.site_id, r.pagerank, r.updated_at) for r in graph.upsert_analysis(old, new, sites, now).collect()} == {(1, 0.5, t1), (3, 0.5, t1)}
+    assert graph.upsert_analysis(old, new.where("false"), sites, now).count() == 3

@@ -74,3 +74,38 @@ def test_postings_left_and_report_of_routed_sites(spark, folder):
     left = relational.QUERIES["snk_delete_postings"](spark, d).select("page_id", "term").distinct()
     assert {(2, "fox"), (2, "lantern"), (3, "owl")} <= {tuple(r) for r in left.collect()} and left.where("page_id = 1").isEmpty()
     assert [r.address for r in relational.QUERIES["snk_report_routed"](spark, d).collect()] == ["o2.onion"]
+
+
+def test_pages_of_a_list():
+    assert explore.pager(0, 100, 100) == (None, 100) and explore.pager(50, 7, 100) == (0, None) and explore.pager(200, 0, 100) == (100, None)
+    assert explore.pager(25, 25, 25, total=50) == (0, None) and explore.pager(0, 25, 25, total=26) == (None, 25)
+
+
+def test_the_core_registers_without_the_packages_of_the_text_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import sys; sys.modules.update({m: None for m in %r}); import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); print(len(q), len(s), any(k.startswith('p1_') for k in q))"
+    run = lambda where, blocked: subprocess.run([sys.executable, "-c", code % (blocked,)], cwd=where, capture_output=True, text=True, check=True).stdout.split()
+    core = [str(len(registry.queries())), str(len(registry.oracle_sql())), "False"]
+    assert run(root, ["ahocorasick"]) == core and run(root, ["tiktoken"]) == core
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    assert run(tmp_path / "r", []) == core
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from weblattice import session
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+        getConf = staticmethod(lambda: {})  # noqa: N815
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    with pytest.raises(session.NoSharedFolder):
+        session.ensure_checkpoint_dir(Session)

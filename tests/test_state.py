@@ -103,3 +103,57 @@ def test_predicates(spark):
     assert df.where(predicates.all_of(predicates.optional("component", 5), predicates.optional("id", None))).count() == 1
     assert df.where(predicates.all_of()).count() == 2
     assert predicates.any_of(df, "id", []).count() == 0 and predicates.any_of(df, "id", [1, 2, 2], small=1).count() == 2
+
+
+def test_a_leased_site_is_not_claimed_again(spark):
+    ddl = "id long, onion string, status string, pages_fetched int, next_allowed_at timestamp_ntz, lease_until timestamp_ntz"
+    sites = spark.createDataFrame([(i, f"o{i}", "up", i - 1, T0, T0) for i in (1, 2, 3)], ddl)
+    frontier = spark.createDataFrame([(bytes([i]), f"u{i}", i, 0, 1, T0, 0) for i in (1, 2, 3)], "url_hash binary, url string, site_id long, depth int, priority int, next_fetch_at timestamp_ntz, attempts int")
+    now = F.lit(T0).cast("timestamp_ntz")
+    jobs, leased = state.claim(sites, frontier, now, n=2)
+    assert {r.site_id for r in jobs.collect()} == {1, 2}
+    again, _ = state.claim(leased, frontier, now, n=2)
+    assert {r.site_id for r in again.collect()} == {3}
+    later = F.lit(T0 + dt.timedelta(seconds=state.LEASE_S)).cast("timestamp_ntz")
+    assert {r.site_id for r in state.claim(leased, frontier, later, n=5)[0].collect()} == {1, 2, 3}
+
+
+def test_an_unchanged_page_changes_nothing_but_its_time(spark):
+    tables = {
+        "sites": spark.createDataFrame([(1, "a", "old", "srv", 1)], "id long, onion string, title string, server string, pages_fetched int"),
+        "pages": spark.createDataFrame([], "id long, site_id long, url string, url_hash binary, depth int, first_fetched timestamp_ntz, last_fetched timestamp_ntz, last_status int, current_version_id long"),
+        "page_versions": spark.createDataFrame([], "id long, page_id long, fetched_at timestamp_ntz, http_status int, content_type string, text_hash binary, simhash long, title string, text string, html_hash binary"),
+        "links": spark.createDataFrame([], "src_page_id long, dst_site_id long, dst_url string, anchor_text string, is_onion boolean"),
+        "entities": spark.createDataFrame([], "page_version_id long, site_id long, kind string, value string"),
+    }
+
+    def capture(minutes, text, html, title="t"):
+        return (1, "http://a.onion/", 0, T0 + dt.timedelta(minutes=minutes), 200, "text/html", "s", title, text, html, 7, [("u", "x", "a"), ("v", "", "")], [("email", "e"), ("email", "e")])
+
+    save = lambda t, *rows: state.save_pages(t, spark.createDataFrame(rows, state.CAPTURE))
+    counts = lambda t: {k: v.count() for k, v in t.items()}
+    one = save(tables, capture(0, "old", b"h"), capture(1, "text", b"h"))  # the last of a batch counts
+    assert counts(one) == {"sites": 1, "pages": 1, "page_versions": 1, "links": 2, "entities": 1}
+    assert one["page_versions"].first().text == "text" and one["sites"].first().pages_fetched == 2 and one["sites"].first().title == "t"
+    two = save(one, capture(5, "text", b"h", title="other"))
+    assert counts(two) == counts(one) and two["sites"].first().title == "t" and two["pages"].first().last_fetched == T0 + dt.timedelta(minutes=5)
+    three = save(two, capture(9, "text", b"other html", title=""))  # only the HTML differs
+    assert counts(three) == {"sites": 1, "pages": 1, "page_versions": 2, "links": 2, "entities": 2}
+    assert three["pages"].first().current_version_id == 2 and three["sites"].first().title is None and three["sites"].first().pages_fetched == 2
+    assert {(r.dst_site_id, r.is_onion) for r in three["links"].collect()} == {(1, True), (None, False)}
+
+
+def test_stored_state_goes_on(spark):
+    sites = spark.createDataFrame([(1, T0, T0, 4), (2, T0, None, 2), (3, T0, T0, 1)], "id long, first_seen timestamp_ntz, last_ok timestamp_ntz, consecutive_failures int")
+    t = T0 + dt.timedelta(hours=1)
+    log = spark.createDataFrame([(1, t, "desc_not_found"), (2, t, "ok"), (2, t + dt.timedelta(hours=1), "timeout")], "site_id long, ts timestamp_ntz, outcome string")
+    got = {r.id: r for r in state.liveness(sites, log, stored=True).collect()}
+    assert (got[1].status, got[1].consecutive_failures, got[1].last_ok, got[1].next_check_at) == ("down", 5, T0, t + dt.timedelta(hours=16))
+    assert (got[2].status, got[2].consecutive_failures, got[2].last_ok) == ("flaky", 1, t) and 3 not in got
+
+
+def test_no_crawl_without_enough_hashes(spark):
+    stored = spark.createDataFrame([(f"{i:032x}", "remote" if i < 5 else "local") for i in range(9)], "md5 string, source string")
+    assert lists.gate(stored, "remote", least=5) == 5
+    with pytest.raises(lists.BrokenList):
+        lists.gate(stored, "remote", least=6)

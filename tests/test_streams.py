@@ -82,12 +82,25 @@ def test_deduplication_and_batch_functions(spark, tmp_path):
     assert len(runs) == 2
 
 
-def test_index_batches(spark, tmp_path):
+def test_the_last_write_of_a_page_wins(spark, tmp_path):
+    each = streams.indexer(f"{tmp_path}/index")
+    docs = lambda *rows: spark.createDataFrame(rows, "page_id long, version_id long, title string, text string")
+    terms = lambda: sorted((r.page_id, r.term, r.field) for r in streams.index(spark, f"{tmp_path}/index").collect())
+    each(docs((1, 1, "a", "b"), (2, 2, None, "c")), 0)
+    assert terms() == [(1, "a", "title"), (1, "b", "text"), (2, "c", "text")]
+    each(docs((1, 3, None, "d"), (3, 5, None, "new"), (3, 4, None, "old")), 1)
+    each(docs((1, 3, None, "d"), (3, 5, None, "new"), (3, 4, None, "old")), 1)  # done again
+    assert terms() == [(1, "d", "text"), (2, "c", "text"), (3, "new", "text")]
+    each(docs((2, 6, None, "")), 2)
+    assert terms() == [(1, "d", "text"), (3, "new", "text")]
+
+
+def test_the_index_as_a_stream(spark, tmp_path):
     docs = "page_id long, site_id long, url string, title string, text string"
     spark.createDataFrame([(1, 1, "u", "a b", "b c"), (2, 1, "v", None, "c")], docs).coalesce(1).write.parquet(f"{tmp_path}/docs")
     s = spark.readStream.schema(spark.createDataFrame([], docs).schema).parquet(f"{tmp_path}/docs")
     streams.run(s, f"{tmp_path}/c", each=streams.indexer(f"{tmp_path}/index"))
-    assert spark.read.parquet(f"{tmp_path}/index").where("term = 'c'").count() == 2
+    assert streams.index(spark, f"{tmp_path}/index").where("term = 'c'").count() == 2
 
 
 def test_versions_keep_changes_only(spark, tmp_path):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weblattice.functions.hashing import hamming
 from weblattice.session import cut
-from weblattice.sources.snapshots import numbered
+from weblattice.sources.snapshots import numbered, upsert
 
 DAMPING, ROUNDS = 0.85, 40
 #: Kinds that tell an operator, and the most sites that a value may be on.
@@ -130,6 +130,16 @@ def analysis(sites: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFra
     return rank.join(component.withColumnRenamed("label", "component"), "id").join(operator.withColumnRenamed("label", "operator"), "id").withColumnRenamed("id", "site_id")
 
 
+def upsert_analysis(old: DataFrame, new: DataFrame, sites: DataFrame, now) -> DataFrame:
+    """The stored analysis after a run: its rows in the place of old ones, none of sites that have gone since, and no row of an earlier run.
+
+    An empty run leaves the last one as it is.
+    """
+    fresh = new.join(sites.select(F.col("id").alias("site_id")), "site_id", "left_semi").withColumn("updated_at", now)
+    both = upsert(old, fresh.select(*old.columns), ["site_id"])
+    return both.where(F.col("updated_at") >= both.agg(F.max("updated_at")).scalar())
+
+
 def neighbourhood(edges: DataFrame, center: int, hops: int = 1, limit: int = 250) -> DataFrame:
     """(id, ring) of the centre and what is within so many steps of it, at most limit in all.
 

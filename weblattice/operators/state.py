@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weblattice.functions.fetching import ALIVE, TRANSIENT
 from weblattice.functions.hashing import url_hash
 from weblattice.functions.onion import canonical_any, canonical_onion, home_url
-from weblattice.sources.snapshots import insert_ignore
+from weblattice.session import cut
+from weblattice.sources.snapshots import allocate, insert_ignore, latest
 
 MAX_LINKS, MAX_DEPTH, PAGE_CAP, URL_CHARS, MAX_ATTEMPTS = 5000, 3, 200, 2000, 3
-DELAY_S, SLOWER = 8, 4
+DELAY_S, SLOWER, LEASE_S = 8, 4, 180
 
 
 def after(ts: Column, seconds) -> Column:
@@ -60,11 +61,17 @@ def _due(frontier: DataFrame, sites: DataFrame, now: Column, cap: int) -> DataFr
     return frontier.where(F.col("next_fetch_at") <= now).join(s, "site_id").where((F.col("pages_fetched") < cap) | (F.col("priority") <= 1))
 
 
-def claim(sites: DataFrame, frontier: DataFrame, now: Column, n: int = 64, cap: int = PAGE_CAP) -> DataFrame:
-    """(site_id, onion, url_hash, url, depth, attempts): the best due URL of each of at most n due sites, new sites first."""
+def claim(sites: DataFrame, frontier: DataFrame, now: Column, n: int = 64, cap: int = PAGE_CAP, lease: int = LEASE_S) -> tuple[DataFrame, DataFrame]:
+    """(jobs, sites): the best due URL of each of at most n due sites, new sites first, and the sites with these leased, so that no other claim gets them.
+
+    jobs: (site_id, onion, url_hash, url, depth, attempts).
+    """
     free = sites.where((F.col("next_allowed_at") <= now) & (F.col("lease_until") <= now) & (F.col("status") != "auth_gated")).select(F.col("id").alias("site_id"), "onion", "pages_fetched", "next_allowed_at")
     best = _due(frontier, sites, now, cap).groupBy("site_id").agg(F.min_by(F.struct("url_hash", "url", "depth", "attempts"), F.struct("priority", "next_fetch_at", "url_hash")).alias("f"))
-    return free.join(best, "site_id").orderBy(F.desc(F.col("pages_fetched") == 0), "next_allowed_at", "site_id").limit(n).select("site_id", "onion", "f.url_hash", "f.url", "f.depth", "f.attempts")
+    jobs = free.join(best, "site_id").orderBy(F.desc(F.col("pages_fetched") == 0), "next_allowed_at", "site_id").limit(n).select("site_id", "onion", "f.url_hash", "f.url", "f.depth", "f.attempts")
+    taken = jobs.select(F.col("site_id").alias("id"), F.lit(True).alias("__taken"))
+    leased = sites.join(taken, "id", "left").withColumn("lease_until", F.when(F.col("__taken"), after(now, lease)).otherwise(F.col("lease_until")))
+    return jobs, leased.select(*sites.columns)
 
 
 def release(sites: DataFrame, done: DataFrame, now: Column, delay: int = DELAY_S) -> DataFrame:
@@ -113,17 +120,20 @@ def step(state: dict, ts: pd.Timestamp, outcome: str) -> dict:
 LIVENESS = "id long, status string, consecutive_failures int, last_seen timestamp_ntz, last_ok timestamp_ntz, next_check_at timestamp_ntz"
 
 
-def liveness(sites: DataFrame, log: DataFrame) -> DataFrame:
-    """(LIVENESS) of the sites with logged fetches, starting from never seen.
+def liveness(sites: DataFrame, log: DataFrame, stored: bool = False) -> DataFrame:
+    """(LIVENESS) of the sites with logged fetches: from never seen, or with ``stored`` from the state in sites, to which log is what came since.
 
     The last state depends on few facts only: the last row, the last answer before it and the failures since then. So it is computed
     by aggregates, without gathering any site's log in one place.
     """
-    l = log.join(sites.select(F.col("id").alias("site_id"), "first_seen"), "site_id").select("site_id", "ts", "outcome", "first_seen", F.col("outcome").isin(*ALIVE).alias("alive"))  # noqa: E741
+    held = (F.col("last_ok"), F.col("consecutive_failures").cast("long")) if stored else (F.lit(None).cast("timestamp_ntz"), F.lit(0).cast("long"))
+    known = sites.select(F.col("id").alias("site_id"), "first_seen", held[0].alias("held_ok"), F.coalesce(held[1], F.lit(0)).alias("held_fails"))
+    l = log.join(known, "site_id").select("site_id", "ts", "outcome", "first_seen", "held_ok", "held_fails", F.col("outcome").isin(*ALIVE).alias("alive"))  # noqa: E741
     ok = l.where("alive").groupBy("site_id").agg(F.max(F.struct("ts", "outcome")).alias("ok_at"))
     w = l.join(ok, "site_id", "left").withColumn("at", F.struct("ts", "outcome"))
-    a = w.groupBy("site_id", "first_seen", "ok_at").agg(F.max("at").alias("last"), F.count_if(F.col("ok_at").isNull() | (F.col("at") > F.col("ok_at"))).alias("fails"))
-    ok_ts, ts = F.col("ok_at.ts"), F.col("last.ts")
+    a = w.groupBy("site_id", "first_seen", "ok_at", "held_ok", "held_fails").agg(F.max("at").alias("last"), F.count_if(F.col("ok_at").isNull() | (F.col("at") > F.col("ok_at"))).alias("fails"))
+    a = a.withColumn("fails", F.col("fails") + F.when(F.col("ok_at").isNull(), F.col("held_fails")).otherwise(0))
+    ok_ts, ts = F.coalesce("ok_at.ts", "held_ok"), F.col("last.ts")
     up = F.col("ok_at").isNotNull() & (F.col("last") == F.col("ok_at"))
     gated = F.col("last.outcome") == "auth_required"
     old = F.coalesce(ok_ts, F.col("first_seen")) < after(ts, -30 * 86400)
@@ -154,6 +164,59 @@ def changed_versions(captures: DataFrame, by: str = "page_id", hashes: tuple[str
     return out.where("__new OR NOT (" + " AND ".join(f"__s{i}" for i in range(len(same))) + ")").drop("__new", *[f"__s{i}" for i in range(len(same))])
 
 
+CAPTURE = "site_id long, url string, depth int, fetched_at timestamp_ntz, status int, content_type string, server string, title string, text string, html_hash binary, simhash long, links array<struct<url:string,anchor:string,dst:string>>, entities array<struct<kind:string,value:string>>"
+
+
+def save_pages(tables: dict[str, DataFrame], captures: DataFrame) -> dict[str, DataFrame]:
+    """The tables sites, pages, page_versions, links and entities after fetched pages (CAPTURE) are stored.
+
+    A page is known by its URL; of several captures of one in a batch the last counts. Every captured page has its time and status brought up to date.
+    Only where text or HTML differ from the current version's there is a new version, which becomes the current one, takes the place of the
+    page's links and brings its entities, each once; and a home page names its site then. A new page counts for its site.
+    """
+    old, versions, sites = tables["pages"], tables["page_versions"], tables["sites"]
+    c = latest(captures.withColumn("url_hash", url_hash(F.col("url"))), ["url_hash"], ["fetched_at", "status", "text"])
+    c = c.withColumn("text_hash", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    now = versions.select(F.col("id").alias("current_version_id"), F.col("text_hash").alias("__text"), F.col("html_hash").alias("__html"), F.lit(True).alias("__held"))
+    held = old.select("url_hash", F.col("id").alias("page_id"), "current_version_id").join(now, "current_version_id", "left")
+    c = c.join(held, "url_hash", "left")
+    same = F.coalesce("__held", F.lit(False)) & F.col("__text").eqNullSafe(F.col("text_hash")) & F.col("__html").eqNullSafe(F.col("html_hash"))
+    c = cut(c.withColumn("__changed", ~same).drop("__text", "__html", "__held", "current_version_id"))
+    fresh = allocate(old, c.where("page_id IS NULL").select("url_hash"), "id", ["url_hash"]).withColumnRenamed("id", "__new")
+    c = c.join(fresh, "url_hash", "left").withColumn("__is_new", F.col("page_id").isNull()).withColumn("page_id", F.coalesce("page_id", "__new"))
+    changed = cut(allocate(versions, c.where("__changed"), "version_id", ["page_id"], held="id"))
+
+    kept = {"id": F.col("version_id"), "http_status": F.col("status")}
+    made = changed.select(*[kept.get(n, F.col(n) if n in changed.columns else F.lit(None)).cast(versions.schema[n].dataType).alias(n) for n in versions.columns])
+    to = changed.select("page_id", F.col("version_id").alias("__version"))
+    seen = c.select("page_id", F.col("fetched_at").alias("__at"), F.col("status").alias("__status")).join(to, "page_id", "left")
+    pages = old.join(seen.withColumnRenamed("page_id", "id"), "id", "left")
+    pages = pages.withColumn("last_fetched", F.coalesce("__at", "last_fetched")).withColumn("last_status", F.when(F.col("__at").isNotNull(), F.col("__status")).otherwise(F.col("last_status"))).withColumn("current_version_id", F.coalesce("__version", "current_version_id")).select(*old.columns)
+    values = {"id": F.col("page_id"), "first_fetched": F.col("fetched_at"), "last_fetched": F.col("fetched_at"), "last_status": F.col("status"), "current_version_id": F.col("__version")}
+    first = c.where("__is_new").join(to, "page_id", "left")
+    first = first.select(*[values.get(n, F.col(n) if n in first.columns else F.lit(None)).cast(old.schema[n].dataType).alias(n) for n in old.columns])
+
+    each = changed.select("page_id", F.explode("links").alias("link")).select("page_id", F.nullif("link.dst", F.lit("")).alias("dst"), "link.url", "link.anchor")
+    target = sites.select(F.col("onion").alias("dst"), F.col("id").alias("dst_site_id"))
+    links = each.join(target, "dst", "left").select(F.col("page_id").alias("src_page_id"), "dst_site_id", F.col("url").alias("dst_url"), F.col("anchor").alias("anchor_text"), F.col("dst").isNotNull().alias("is_onion"))
+    gone = changed.select(F.col("page_id").alias("src_page_id"))
+    told = changed.select(F.col("version_id").alias("page_version_id"), "site_id", F.explode("entities").alias("e")).select("page_version_id", "site_id", "e.kind", "e.value")
+
+    grown = c.where("__is_new").groupBy(F.col("site_id").alias("id")).agg(F.count("*").alias("__more"))
+    home = changed.where((F.col("depth") == 0) & F.col("url").endswith(".onion/")).groupBy(F.col("site_id").alias("id")).agg(F.max_by(F.struct("title", "server"), F.struct("fetched_at", "url")).alias("__home"))
+    s = sites.join(grown, "id", "left").join(home, "id", "left").withColumn("pages_fetched", (F.col("pages_fetched") + F.coalesce("__more", F.lit(0))).cast("int"))
+    for n in ("title", "server"):
+        s = s.withColumn(n, F.when(F.col("__home").isNotNull(), F.nullif(F.col(f"__home.{n}"), F.lit(""))).otherwise(F.col(n)))
+    return {
+        **tables,
+        "sites": s.select(*sites.columns),
+        "pages": pages.unionByName(first),
+        "page_versions": versions.unionByName(made),
+        "links": tables["links"].join(gone, "src_page_id", "left_anti").unionByName(links),
+        "entities": insert_ignore(tables["entities"], told, ["page_version_id", "kind", "value"]),
+    }
+
+
 def current_versions(versions: DataFrame) -> DataFrame:
     """(page_id, current_version_id): the last version of each page."""
     return versions.groupBy("page_id").agg(F.max_by("id", F.struct("fetched_at", "id")).alias("current_version_id"))
@@ -193,6 +256,12 @@ def index_delta(pages: DataFrame) -> DataFrame:
     return pages.where(~F.col("current_version_id").eqNullSafe(F.col("indexed_version_id")) & F.col("current_version_id").isNotNull())
 
 
+def mark_indexed(pages: DataFrame, indexed: DataFrame) -> DataFrame:
+    """pages with those of indexed (page_id, version_id) marked as indexed by that version."""
+    done = indexed.select(F.col("page_id").alias("id"), F.col("version_id").alias("__done"))
+    return pages.join(done, "id", "left").withColumn("indexed_version_id", F.coalesce("__done", "indexed_version_id")).select(*pages.columns)
+
+
 def gauges(sites: DataFrame, frontier: DataFrame, pages: DataFrame, now: Column) -> DataFrame:
     """(metric, label, value): sites by status, queued and due URLs, pages."""
     by = sites.groupBy(F.col("status").alias("label")).agg(F.count("*").alias("value")).select(F.lit("crawler_sites").alias("metric"), "label", "value")

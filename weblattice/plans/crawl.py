@@ -6,7 +6,9 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from weblattice.functions.fetching import ALIVE
 from weblattice.operators import graph
+from weblattice.schema import TABLES
 from weblattice.session import cut
 from weblattice.sources.tables import table
 
@@ -51,6 +53,19 @@ class Crawl:
     def log(self) -> DataFrame:
         return self.table("fetch_log")
 
+    @cached_property
+    def frontier(self) -> DataFrame:
+        """The queue; a folder without one has nothing queued."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/frontier.parquet")
+        if path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.table("frontier")
+        return self.spark.createDataFrame([], TABLES["frontier"])
+
+    @property
+    def as_of(self) -> Column:
+        """The log's last time, as a scalar subquery."""
+        return self.log.agg(F.max("ts")).scalar()
+
     @cached_property
     def edges(self) -> DataFrame:
         return graph.site_edges(self.links, self.pages)
@@ -103,3 +118,14 @@ ol AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS labe
 analysis AS (SELECT s.id AS site_id, pr.r AS pagerank, cl.label AS component, ol.label AS operator FROM sites s JOIN pr ON pr.id = s.id AND pr.i = 40
   JOIN croot c ON c.id = s.id JOIN cl ON cl.root = c.root JOIN oroot o ON o.id = s.id LEFT JOIN ol ON ol.root = o.root)"""
 WITH_ANALYSIS = f"WITH RECURSIVE {ANALYSIS}"
+
+
+_ALIVE = "(" + ", ".join(f"'{x}'" for x in ALIVE) + ")"
+#: The state of every site with logged fetches, from never seen.
+LIVE = f"""WITH l AS (SELECT f.site_id, f.ts, f.outcome, s.first_seen, f.outcome IN {_ALIVE} AS alive FROM fetch_log f JOIN sites s ON s.id = f.site_id),
+o AS (SELECT site_id, max((ts, outcome)) AS ok FROM l WHERE alive GROUP BY 1),
+a AS (SELECT l.site_id, first_seen, o.ok, max((ts, outcome)) AS last, count(*) FILTER (WHERE o.ok IS NULL OR (ts, outcome) > o.ok) AS fails FROM l LEFT JOIN o USING (site_id) GROUP BY 1, 2, 3),
+b AS (SELECT site_id, first_seen, ok[1] AS ok_ts, last[1] AS ts, last[2] AS outcome, ok IS NOT NULL AND last = ok AS up, fails, coalesce(ok[1], first_seen) < last[1] - INTERVAL 30 DAY AS old FROM a)
+SELECT site_id AS id, CASE WHEN up THEN 'up' WHEN outcome = 'auth_required' THEN 'auth_gated' WHEN old THEN 'dead' WHEN outcome = 'desc_not_found' THEN 'down' ELSE 'flaky' END AS status,
+CAST(CASE WHEN up THEN 0 ELSE fails END AS INTEGER) AS consecutive_failures, ts AS last_seen, ok_ts AS last_ok,
+ts + CASE WHEN up THEN INTERVAL 24 HOUR WHEN outcome = 'auth_required' OR old THEN INTERVAL 30 DAY WHEN outcome = 'desc_not_found' THEN to_seconds(least(3600 * pow(2, least(fails - 1, 8)), 604800)) ELSE INTERVAL 6 HOUR END AS next_check_at FROM b"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weblattice.functions.fetching import ALIVE, is_alive
 from weblattice.functions.hashing import hamming, hex64
-from weblattice.operators import graph
+from weblattice.operators import graph, state
 from weblattice.plans.crawl import Crawl, site_columns, truncated
 
 MAX_TEXT, PAGE_SIZE, ENTITY_PAGE, MAX_OFFSET = 300_000, 100, 200, 1_000_000
@@ -28,6 +28,15 @@ def clamp(value, default: int, most: int) -> int:
     return default if n < 0 else min(n, most)
 
 
+def pager(offset: int, shown: int, size: int, total: int | None = None) -> tuple[int | None, int | None]:
+    """(offset of the previous page, of the next one), None where there is none.
+
+    Where the total is known it decides whether there is a next page; else a full page is thought to have one.
+    """
+    more = shown >= size if total is None else offset + size < total
+    return (max(0, offset - size) if offset > 0 else None), (offset + size if more else None)
+
+
 def one(df: DataFrame) -> dict:
     """The only row, or NotFound."""
     rows = df.limit(1).collect()
@@ -46,7 +55,7 @@ def status_counts(c: Crawl) -> DataFrame:
 def totals(c: Crawl) -> DataFrame:
     """One row; each number is a scalar subquery, so that the tables' counts run side by side."""
     n = lambda df: df.agg(F.count("*")).scalar()
-    return c.spark.range(1).select(*[n(x).alias(k) for k, x in (("sites", c.sites), ("pages", c.pages), ("versions", c.versions), ("links", c.links), ("entities", c.entities), ("edges", c.edges))])
+    return c.spark.range(1).select(*[n(x).alias(k) for k, x in (("sites", c.sites), ("pages", c.pages), ("versions", c.versions), ("links", c.links), ("entities", c.entities), ("edges", c.edges), ("frontier", c.frontier))])
 
 
 def outcomes_24h(c: Crawl) -> DataFrame:
@@ -94,8 +103,12 @@ def sites(c: Crawl, status: str = "", q: str = "", sort: str = "indeg", offset=0
 
 
 def site(c: Crawl, id_: int) -> DataFrame:
-    s = graph.with_degrees(c.sites, c.edges).where(F.col("id") == id_).join(c.analysis.withColumnRenamed("site_id", "id"), "id", "left")
-    return s.select("id", "onion", F.coalesce("title", F.lit("")).alias("title"), "status", "discovered_via", "first_seen", "last_seen", "last_ok", "consecutive_failures", F.coalesce("server", F.lit("")).alias("server"), "pages_fetched", "indeg", "outdeg", F.round("pagerank", 9).alias("pagerank"), "component", "operator")
+    """One site; when it is to be checked again stands in its row, or follows from the log where the table doesn't keep it."""
+    kept = c.sites
+    if "next_check_at" not in kept.columns:
+        kept = kept.join(state.liveness(kept.where(F.col("id") == id_), c.log).select("id", "next_check_at"), "id", "left")
+    s = graph.with_degrees(kept, c.edges).where(F.col("id") == id_).join(c.analysis.withColumnRenamed("site_id", "id"), "id", "left")
+    return s.select("id", "onion", F.coalesce("title", F.lit("")).alias("title"), "status", "discovered_via", "first_seen", "last_seen", "last_ok", "consecutive_failures", F.coalesce("server", F.lit("")).alias("server"), "pages_fetched", "indeg", "outdeg", F.round("pagerank", 9).alias("pagerank"), "component", "operator", "next_check_at")
 
 
 def uptime(c: Crawl, id_: int | None) -> DataFrame:
@@ -233,6 +246,12 @@ def graph_edges(c: Crawl, ids: DataFrame) -> DataFrame:
     return graph.induced(c.edges, c.sites.select("id").join(ids.select("id"), "id", "left_semi"))
 
 
+def cluster_sites(c: Crawl) -> DataFrame:
+    """The sites of every cluster, a row each."""
+    each = graph.home_clusters(c.pages, c.versions).select("root", "size", "exact", F.explode("ids").alias("id"))
+    return c.sites.join(each, "id").select(*site_columns(c.sites), "root", "size", "exact").orderBy(F.desc("size"), "root", "id")
+
+
 def clusters(c: Crawl) -> DataFrame:
     return graph.home_clusters(c.pages, c.versions).orderBy(F.desc("size"), "root")
 
@@ -284,7 +303,9 @@ def site_sizes(c: Crawl) -> DataFrame:
 
 def graph_counts(c: Crawl) -> DataFrame:
     a = c.analysis
-    return a.agg(F.count("*").alias("analysed"), F.count_distinct("component").alias("components"), F.count_distinct("operator").alias("operators"))
+    at = F.max("updated_at") if "updated_at" in a.columns else F.lit(None).cast("timestamp_ntz")
+    counts = a.agg(F.count("*").alias("analysed"), F.count_distinct("component").alias("components"), F.count_distinct("operator").alias("operators"), at.alias("at"))
+    return counts.select("analysed", "components", "operators", F.coalesce("at", c.as_of).alias("updated_at"))  # computed now where it isn't stored
 
 
 def top_rank(c: Crawl, n: int = 25) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from weblattice.functions.fetching import ALIVE
 from weblattice.operators import graph
 from weblattice.plans import explore as x
-from weblattice.plans.crawl import AS_OF, DEGREES, EDGES, SITE, WITH_ANALYSIS, Crawl
+from weblattice.plans.crawl import AS_OF, DEGREES, EDGES, LIVE, SITE, WITH_ANALYSIS, Crawl
 
 ME = 1  # the site with most pages
 PAGE = 1
@@ -22,13 +22,19 @@ _FETCHES = f"SELECT site_id, ts, ts::DATE AS day, outcome, CASE WHEN list_contai
 TOP = "top AS (SELECT id FROM (SELECT src_site_id AS id FROM edges UNION ALL SELECT dst_site_id FROM edges) GROUP BY 1 ORDER BY count(*) DESC, id LIMIT 40)"
 
 
+#: Each home page long enough to compare with the least page it is linked to.
+_GROUPED = f"""WITH RECURSIVE {HOMES}, h AS (SELECT page_id AS id, id AS site_id, simhash, text_hash FROM homes WHERE chars >= 200),
+e AS (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON bit_count(xor(a.simhash, b.simhash)) <= 3),
+r AS (SELECT id AS a, id AS b FROM h UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), placed AS (SELECT h.id, site_id, text_hash, min(r.b) AS root FROM r JOIN h ON h.id = r.a GROUP BY ALL)"""
+
+
 def _q(f):
     return lambda spark, d: f(Crawl(spark, d))
 
 
 _ALL = {
     "q_overview_status": (x.status_counts, "SELECT status, count(*) AS n FROM sites GROUP BY 1"),
-    "q_overview_totals": (x.totals, f"{WITH_EDGES} SELECT (SELECT count(*) FROM sites) AS sites, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM page_versions) AS versions, (SELECT count(*) FROM links) AS links, (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM edges) AS edges"),
+    "q_overview_totals": (x.totals, f"{WITH_EDGES} SELECT (SELECT count(*) FROM sites) AS sites, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM page_versions) AS versions, (SELECT count(*) FROM links) AS links, (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM edges) AS edges, CAST(0 AS BIGINT) AS frontier"),
     "q_overview_outcomes": (x.outcomes_24h, f"SELECT outcome, count(*) AS n FROM fetch_log WHERE ts > {AS_OF} - INTERVAL 24 HOUR GROUP BY 1"),
     "q_overview_hubs": (lambda c: x.top_degree(c, "dst_site_id"), f"{WITH_EDGES} SELECT {SITE}, e.n AS degree FROM (SELECT dst_site_id AS id, count(*) AS n FROM edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15) e JOIN sites s ON s.id = e.id"),
     "q_overview_directories": (lambda c: x.top_degree(c, "src_site_id"), f"{WITH_EDGES} SELECT {SITE}, e.n AS degree FROM (SELECT src_site_id AS id, count(*) AS n FROM edges GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15) e JOIN sites s ON s.id = e.id"),
@@ -38,7 +44,7 @@ _ALL = {
     "q_sites_filtered": (lambda c: x.sites(c, status="up", q="the", sort="seen"), f"{WITH_ANALYSIS} SELECT {SITE_LIST} WHERE s.status = 'up' AND (s.title ILIKE '%the%' OR s.onion LIKE 'the%') ORDER BY s.last_ok DESC NULLS LAST, s.id LIMIT 100"),
     "q_sites_component": (lambda c: x.sites(c, component=0, sort="pages", offset=5), f"{WITH_ANALYSIS} SELECT {SITE_LIST} WHERE an.component = 0 ORDER BY s.pages_fetched DESC, s.id LIMIT 100 OFFSET 5"),
     "q_sites_operator": (lambda c: x.sites(c, operator=0, sort="no such order"), f"{WITH_ANALYSIS} SELECT {SITE_LIST} WHERE an.operator = 0 ORDER BY coalesce(d.indeg, 0) DESC, s.id LIMIT 100"),
-    "q_site": (lambda c: x.site(c, ME), f"{WITH_ANALYSIS} SELECT {SITE}, s.discovered_via, s.first_seen, s.last_seen, s.last_ok, s.consecutive_failures, coalesce(s.server, '') AS server, s.pages_fetched, {DEG}, round(an.pagerank, 9) AS pagerank, an.component, an.operator FROM sites s LEFT JOIN deg d ON d.id = s.id LEFT JOIN analysis an ON an.site_id = s.id WHERE s.id = {ME}"),
+    "q_site": (lambda c: x.site(c, ME), f"{WITH_ANALYSIS} SELECT {SITE}, s.discovered_via, s.first_seen, s.last_seen, s.last_ok, s.consecutive_failures, coalesce(s.server, '') AS server, s.pages_fetched, {DEG}, round(an.pagerank, 9) AS pagerank, an.component, an.operator, w.next_check_at FROM sites s LEFT JOIN deg d ON d.id = s.id LEFT JOIN analysis an ON an.site_id = s.id LEFT JOIN ({LIVE}) w ON w.id = s.id WHERE s.id = {ME}"),
     "q_site_uptime": (lambda c: x.uptime(c, ME), f"WITH f AS ({_FETCHES} AND site_id = {ME}), l AS (SELECT DISTINCT ON (day) day, outcome AS last FROM f ORDER BY day, ts DESC, outcome DESC) SELECT day, CAST(sum(answered) AS BIGINT) AS up, count(*) AS total, any_value(l.last) AS last FROM f JOIN l USING (day) GROUP BY day"),
     "q_sites_uptime": (lambda c: x.uptime(c, None), f"WITH f AS ({_FETCHES}), l AS (SELECT DISTINCT ON (site_id, day) site_id, day, outcome AS last FROM f ORDER BY site_id, day, ts DESC, outcome DESC) SELECT site_id, day, CAST(sum(answered) AS BIGINT) AS up, count(*) AS total, any_value(l.last) AS last FROM f JOIN l USING (site_id, day) GROUP BY ALL"),
     "q_site_fetches": (lambda c: x.fetches(c, ME), f"SELECT ts, outcome, http_status, latency_ms FROM fetch_log WHERE site_id = {ME} ORDER BY ts DESC, outcome, latency_ms NULLS LAST LIMIT 20"),
@@ -67,6 +73,7 @@ SELECT {SITE}, count(*) AS pages, min(v.fetched_at) AS first_seen, max(v.fetched
 e AS (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON bit_count(xor(a.simhash, b.simhash)) <= 3),
 r AS (SELECT id AS a, id AS b FROM h UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), roots AS (SELECT a AS id, min(b) AS root FROM r GROUP BY 1)
 SELECT root, count(*) AS size, min(text_hash) = max(text_hash) AS exact, list_sort(list(site_id)) AS ids FROM roots JOIN h USING (id) GROUP BY 1 HAVING count(*) > 1"""),
+    "q_clusters_sites": (x.cluster_sites, f"{_GROUPED}, sized AS (SELECT root, count(*) AS size, count(DISTINCT text_hash) = 1 AS exact FROM placed GROUP BY root) SELECT {SITE}, root, size, exact FROM placed JOIN sized USING (root) JOIN sites s ON s.id = placed.site_id WHERE size > 1"),
     "q_analytics_discovery": (lambda c: x.per_day(c.sites, "first_seen"), "SELECT day, n, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS total FROM (SELECT CAST(first_seen AS DATE) AS day, count(*) AS n FROM sites GROUP BY 1)"),
     "q_analytics_pages": (lambda c: x.per_day(c.pages, "first_fetched"), "SELECT day, n, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS total FROM (SELECT CAST(first_fetched AS DATE) AS day, count(*) AS n FROM pages GROUP BY 1)"),
     "q_analytics_outcomes": (x.outcomes_7d, f"WITH named AS (SELECT date_trunc('hour', ts) AS t, CASE outcome WHEN 'ok' THEN 'ok' WHEN 'http_error' THEN 'http_error' WHEN 'desc_not_found' THEN 'offline' WHEN 'timeout' THEN 'timeout' ELSE 'other' END AS shown FROM fetch_log WHERE outcome IS NOT NULL AND age({AS_OF}, ts) < INTERVAL 7 DAY), wide AS (PIVOT named ON shown IN ('ok', 'http_error', 'offline', 'timeout', 'other') USING count(*) GROUP BY t) FROM wide"),
@@ -75,7 +82,7 @@ SELECT root, count(*) AS size, min(text_hash) = max(text_hash) AS exact, list_so
     "q_analytics_entity_kinds": (x.entity_kinds, 'WITH v AS (SELECT kind, count(value) AS "distinct" FROM (SELECT DISTINCT kind, value FROM entities) GROUP BY kind), h AS (SELECT kind, count(site_id) AS sites FROM (SELECT DISTINCT kind, site_id FROM entities) GROUP BY kind) SELECT v.kind, "distinct", sites FROM v JOIN h ON h.kind IS NOT DISTINCT FROM v.kind'),
     "q_analytics_depth": (x.depth, "SELECT depth, count(*) AS n FROM pages GROUP BY 1"),
     "q_analytics_site_sizes": (x.site_sizes, SITE_SIZES),
-    "q_analytics_graph": (x.graph_counts, f"{WITH_ANALYSIS} SELECT count(*) AS analysed, count(DISTINCT component) AS components, count(DISTINCT operator) AS operators FROM analysis"),
+    "q_analytics_graph": (x.graph_counts, f"{WITH_ANALYSIS} SELECT count(*) AS analysed, count(DISTINCT component) AS components, count(DISTINCT operator) AS operators, {AS_OF} AS updated_at FROM analysis"),
     "q_analytics_top_rank": (x.top_rank, f"{WITH_ANALYSIS} SELECT {SITE}, round(an.pagerank, 9) AS pagerank, coalesce(d.indeg, 0) AS indeg FROM analysis an JOIN sites s ON s.id = an.site_id LEFT JOIN deg d ON d.id = s.id ORDER BY round(an.pagerank, 9) DESC, s.id LIMIT 25"),
     "q_analytics_components": (x.top_components, f"{WITH_ANALYSIS} SELECT component, count(*) AS sites, max_by(coalesce(s.title, s.onion), (round(pagerank, 9), -site_id)) AS top FROM analysis a JOIN sites s ON s.id = a.site_id GROUP BY 1 ORDER BY sites DESC, component LIMIT 15"),
     "q_analytics_operators": (x.top_operators, f"""{WITH_ANALYSIS}, g AS (SELECT operator, count(*) AS sites, max_by(coalesce(s.title, s.onion), (round(pagerank, 9), -site_id)) AS top FROM analysis a JOIN sites s ON s.id = a.site_id WHERE operator IS NOT NULL GROUP BY 1 ORDER BY sites DESC, operator LIMIT 25),

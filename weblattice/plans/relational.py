@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from weblattice.functions import display, entities as ent, fetching, hashing, html, onion, terms
 from weblattice.operators import graph, metrics, predicates as pr, search, state
 from weblattice.plans import explore as x
-from weblattice.plans.crawl import AS_OF, EDGES, Crawl, truncated
+from weblattice.plans.crawl import AS_OF, EDGES, LIVE, Crawl, truncated
 from weblattice.plans.explore_queries import SITE_SIZES
 from weblattice.session import cut
 from weblattice.sources import lists, snapshots
@@ -105,13 +105,6 @@ _TIDY = "array_to_string(list_filter(list_transform(string_split(text, chr(10)),
 _SQUEEZE = "trim(regexp_replace(coalesce(title, ''), '[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}]+', ' ', 'g'))"
 _QUEUE = "q AS (SELECT url_hash, url, site_id, depth, depth + 2 AS priority, last_fetched AS next_fetch_at, CASE WHEN last_status = 200 THEN 0 ELSE 1 END AS attempts FROM pages)"
 _ALIVE = _sql_list(fetching.ALIVE)
-_LIVE = f"""WITH l AS (SELECT f.site_id, f.ts, f.outcome, s.first_seen, f.outcome IN {_ALIVE} AS alive FROM fetch_log f JOIN sites s ON s.id = f.site_id),
-o AS (SELECT site_id, max((ts, outcome)) AS ok FROM l WHERE alive GROUP BY 1),
-a AS (SELECT l.site_id, first_seen, o.ok, max((ts, outcome)) AS last, count(*) FILTER (WHERE o.ok IS NULL OR (ts, outcome) > o.ok) AS fails FROM l LEFT JOIN o USING (site_id) GROUP BY 1, 2, 3),
-b AS (SELECT site_id, first_seen, ok[1] AS ok_ts, last[1] AS ts, last[2] AS outcome, ok IS NOT NULL AND last = ok AS up, fails, coalesce(ok[1], first_seen) < last[1] - INTERVAL 30 DAY AS old FROM a)
-SELECT site_id AS id, CASE WHEN up THEN 'up' WHEN outcome = 'auth_required' THEN 'auth_gated' WHEN old THEN 'dead' WHEN outcome = 'desc_not_found' THEN 'down' ELSE 'flaky' END AS status,
-CAST(CASE WHEN up THEN 0 ELSE fails END AS INTEGER) AS consecutive_failures, ts AS last_seen, ok_ts AS last_ok,
-ts + CASE WHEN up THEN INTERVAL 24 HOUR WHEN outcome = 'auth_required' OR old THEN INTERVAL 30 DAY WHEN outcome = 'desc_not_found' THEN to_seconds(least(3600 * pow(2, least(fails - 1, 8)), 604800)) ELSE INTERVAL 6 HOUR END AS next_check_at FROM b"""
 _LAST_DAY = "WHERE date_trunc('minute', ts) > (SELECT max(date_trunc('minute', ts)) FROM fetch_log) - INTERVAL 24 HOUR"
 #: Rates over five minutes of counters with a sample per minute; a series' first sample has no increase.
 _RATES = """m AS (SELECT date_trunc('minute', ts) AS ts, coalesce(outcome, '') AS outcome, coalesce(proxy, '') AS proxy, count(*) AS n FROM fetch_log {where} GROUP BY 1, 2, 3),
@@ -129,12 +122,14 @@ df AS (SELECT field, term, count(*) AS df FROM h GROUP BY 1, 2),
 s AS (SELECT page_id, field, sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM h JOIN df USING (field, term) JOIN st USING (field) GROUP BY 1, 2),
 b AS (SELECT page_id, round(max(score), 6) AS score FROM s GROUP BY 1)
 SELECT page_id, score, (SELECT count(*) FROM b) AS total FROM b ORDER BY score DESC, page_id LIMIT 25"""
+#: What _saved() captures: known pages, and a new one of each site. Texts are the same where their hash is.
+_CAUGHT = "caught AS (SELECT p.url, p.site_id, p.depth, coalesce(v.text, '') || CASE WHEN p.depth <= 1 THEN chr(10) || 'more' ELSE '' END AS text, sha256(coalesce(v.text, '') || CASE WHEN p.depth <= 1 THEN chr(10) || 'more' ELSE '' END) IS DISTINCT FROM lower(hex(v.text_hash)) AS changed FROM pages p JOIN page_versions v ON v.id = p.current_version_id JOIN sites s ON s.id = p.site_id), fresh AS (SELECT 'http://' || onion || '.onion/brand-new' AS url, id AS site_id FROM sites)"
 _COUNTED = "n AS (SELECT date_trunc('hour', ts) AS t, outcome, count(*) AS n FROM fetch_log WHERE ts > (SELECT max(ts) FROM fetch_log) - INTERVAL 3 DAY GROUP BY 1, 2)"
 
 
-def _routed(c: Crawl) -> DataFrame:
+def _routed(c: Crawl, term: str = "lantern") -> DataFrame:
     """The sites to purge of those whose pages hold a term."""
-    return state.route(c.versions.join(c.pages.select(F.col("id").alias("page_id"), "site_id"), "page_id").withColumn("outcome", F.lit("ok")), F.lower("text").contains("lantern"))
+    return state.route(c.versions.join(c.pages.select(F.col("id").alias("page_id"), "site_id"), "page_id").withColumn("outcome", F.lit("ok")), F.lower("text").contains(term))
 
 
 _ALL = {
@@ -142,7 +137,7 @@ _ALL = {
     "src_query": (lambda c: c.spark.sql("SELECT id, url FROM {p} WHERE depth = :depth", args={"depth": 1}, p=c.pages), "SELECT id, url FROM pages WHERE depth = 1"),
     "src_seed_list": (lambda c: c.sites.select(F.explode(onion.extract_addresses(F.concat(F.lit("see HTTP://www."), F.col("onion"), F.lit(".onion/ and x.onion")))).alias("address")).distinct(), "SELECT DISTINCT onion AS address FROM sites"),
     "src_blocklist": (lambda c: lists.block_hashes(c.sites.select(F.concat(F.lit(" "), F.upper(F.md5("onion"))).alias("value")).unionByName(c.sites.select(F.col("onion").alias("value")))), "SELECT DISTINCT md5(onion) AS md5 FROM sites"),
-    "src_filter_terms": (lambda c: c.spark.createDataFrame([(len(terms.Terms(_TERMS)),)], "n int"), "SELECT CAST(3 AS INTEGER) AS n"),
+    "src_filter_terms": (lambda c: _terms(c), "SELECT * FROM (VALUES ('phrase', 'second floor'), ('phrase', 'old team'), ('part', 'lantern')) t(kind, term)"),
     "snk_upsert": (snapshot_upsert, "SELECT id, CASE WHEN depth = 0 THEN 299 ELSE last_status END AS last_status FROM pages"),
     "snk_insert_ignore": (snapshot_insert, "SELECT id, onion FROM sites"),
     "snk_blob": (lambda c: snapshots.blobs(c.versions.select(F.col("text").alias("html"))).select(F.lower(F.hex("hash")).alias("hash"), F.length("html").alias("n")), "SELECT DISTINCT sha256(text) AS hash, strlen(text) AS n FROM page_versions WHERE text IS NOT NULL"),
@@ -175,7 +170,7 @@ _ALL = {
     "j_using": (lambda c: c.entities.join(c.entities.where("site_id = 1").select("kind", "value").distinct(), ["kind", "value"]).groupBy("kind", "value").agg(F.count("*").alias("n")), "SELECT kind, value, count(*) AS n FROM entities JOIN (SELECT DISTINCT kind, value FROM entities WHERE site_id = 1) USING (kind, value) GROUP BY 1, 2"),
     "j_self": (shared_pairs, f"WITH e AS {_SHARED}, few AS (SELECT kind, value FROM e GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 18) SELECT a.site_id AS a, b.site_id AS b, count(*) AS n FROM e a JOIN few USING (kind, value) JOIN e b USING (kind, value) WHERE a.site_id < b.site_id GROUP BY 1, 2"),
     "j_lateral_top1": (top_page_per_site, "SELECT site_id, min_by(id, (depth, first_fetched, id)) AS page_id FROM pages GROUP BY 1"),
-    "j_scalar_subq": (x.totals, f"WITH {EDGES} SELECT (SELECT count(*) FROM sites) AS sites, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM page_versions) AS versions, (SELECT count(*) FROM links) AS links, (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM edges) AS edges"),
+    "j_scalar_subq": (x.totals, f"WITH {EDGES} SELECT (SELECT count(*) FROM sites) AS sites, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM page_versions) AS versions, (SELECT count(*) FROM links) AS links, (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM edges) AS edges, CAST(0 AS BIGINT) AS frontier"),
     "j_corr_count": (lambda c: c.pages.join(c.versions.groupBy(F.col("page_id").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")), "SELECT id, (SELECT count(*) FROM page_versions v WHERE v.page_id = p.id) AS n FROM pages p"),
     "j_corr_top1": (lambda c: c.versions.groupBy("page_id").agg(F.max_by(F.coalesce("title", F.lit("")), F.struct("fetched_at", "id")).alias("title")), "SELECT page_id, max_by(coalesce(title, ''), (fetched_at, id)) AS title FROM page_versions GROUP BY 1"),
     "j_delete_using": (lambda c: state.trim_capped(*_queue(c), cap=3).select(F.lower(F.hex("url_hash")).alias("url_hash")), f"WITH {_QUEUE} SELECT hex(url_hash).lower() AS url_hash FROM q WHERE priority <= 1 OR site_id NOT IN (SELECT id FROM sites WHERE pages_fetched >= 3)"),
@@ -227,7 +222,7 @@ UNION ALL SELECT id, 'btc', unnest(regexp_extract_all(text, '\b[13][a-km-zA-HJ-N
 UNION ALL SELECT id, 'eth', lower(unnest(regexp_extract_all(text, '\b0x[a-fA-F0-9]{40}\b'))) FROM t UNION ALL SELECT id, 'email', lower(unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}\b'))) FROM t)"""),
     "f_filter_norm": (lambda c: c.sites.select("id", terms.folded("title").alias("folded")), None),
     "f_filter_match": (lambda c: spread(c.versions.select("id", "title", "text")).where(terms.matches(c.spark, terms.Terms(_TERMS), F.col("title"), F.col("text"))).select("id"), f"WITH t AS (SELECT id, ' ' || {_FOLD.format('text')} || ' ' AS x, ' ' || {_FOLD.format('coalesce(title, chr(32))')} || ' ' AS y FROM page_versions WHERE text IS NOT NULL) SELECT id FROM t WHERE contains(x, ' second floor ') OR contains(y, ' second floor ') OR contains(x, ' old team ') OR contains(y, ' old team ') OR contains(replace(x, ' ', ''), 'lantern') OR contains(replace(y, ' ', ''), 'lantern')"),
-    "f_trunc": (lambda c: c.pages.select("id", F.left("url", F.lit(30)).alias("url")), "SELECT id, left(url, 30) AS url FROM pages"),
+    "f_trunc": (lambda c: c.pages.select("id", *[F.left(F.repeat("url", 60), F.lit(n)).alias(f"to_{n}") for n in (200, 300, 1000, 2000)]), "SELECT id, " + ", ".join(f"left(repeat(url, 60), {n}) AS to_{n}" for n in (200, 300, 1000, 2000)) + " FROM pages"),
     "f_outcome": (lambda c: c.versions.select("id", fetching.outcome(F.col("http_status"), F.col("content_type"), F.octet_length("text"), F.lit("<html>"), F.lit(None).cast("string")).alias("outcome")), "SELECT id, CASE WHEN http_status < 200 OR http_status > 299 THEN 'http_error' WHEN coalesce(content_type, '') <> '' AND trim(lower(split_part(content_type, ';', 1))) NOT IN ('text/html', 'application/xhtml+xml') THEN 'content_type' WHEN strlen(text) > 2097152 THEN 'too_large' ELSE 'ok' END AS outcome FROM page_versions"),
     "f_socks_outcome": (lambda c: c.spark.range(256).select(F.col("id").alias("code"), fetching.socks_outcome(F.col("id")).alias("outcome")), "SELECT i AS code, CASE i " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in fetching.SOCKS_REPLIES.items()) + " ELSE 'socks_error' END AS outcome FROM range(256) t(i)"),
     "f_rendezvous": (lambda c: c.sites.select("id", fetching.pick_proxy([f"tor{i}" for i in range(6)])("onion").alias("proxy")), None),
@@ -242,10 +237,22 @@ UNION ALL SELECT id, 'eth', lower(unnest(regexp_extract_all(text, '\b0x[a-fA-F0-
     # state
     "u_enqueue": (lambda c: _enqueued(c), f"WITH found AS (SELECT DISTINCT dst_url AS url, dst_site_id AS site_id FROM links WHERE is_onion AND dst_site_id IS NOT NULL) SELECT url, min(site_id) AS site_id FROM found JOIN sites s ON s.id = found.site_id WHERE s.pages_fetched < {state.PAGE_CAP} AND url NOT IN (SELECT url FROM pages) GROUP BY 1"),
     "u_link_expand": (lambda c: _expanded(c), None),
-    "u_claim": (lambda c: state.claim(*_queue(c), _as_of(c), 20, 50).select("site_id", "url"), f"WITH {_QUEUE}, due AS (SELECT q.*, s.pages_fetched, s.onion, coalesce(s.last_seen, s.first_seen) AS nxt, row_number() OVER (PARTITION BY site_id ORDER BY priority, next_fetch_at, url_hash) AS rn FROM q JOIN sites s ON s.id = q.site_id WHERE next_fetch_at <= {AS_OF} AND (pages_fetched < 50 OR priority <= 1) AND s.status <> 'auth_gated' AND coalesce(s.last_seen, s.first_seen) <= {AS_OF} AND s.first_seen <= {AS_OF}) SELECT site_id, url FROM due WHERE rn = 1 ORDER BY pages_fetched = 0 DESC, nxt, site_id LIMIT 20"),
+    "u_claim": (lambda c: state.claim(*_queue(c), _as_of(c), 20, 50)[0].select("site_id", "url"), f"WITH {_QUEUE}, due AS (SELECT q.*, s.pages_fetched, s.onion, coalesce(s.last_seen, s.first_seen) AS nxt, row_number() OVER (PARTITION BY site_id ORDER BY priority, next_fetch_at, url_hash) AS rn FROM q JOIN sites s ON s.id = q.site_id WHERE next_fetch_at <= {AS_OF} AND (pages_fetched < 50 OR priority <= 1) AND s.status <> 'auth_gated' AND coalesce(s.last_seen, s.first_seen) <= {AS_OF} AND s.first_seen <= {AS_OF}) SELECT site_id, url FROM due WHERE rn = 1 ORDER BY pages_fetched = 0 DESC, nxt, site_id LIMIT 20"),
+    "u_claim_lease": (lambda c: state.claim(*_queue(c), _as_of(c), 20, 50)[1].select("id", "lease_until"), f"WITH {_QUEUE}, best AS (SELECT DISTINCT site_id FROM q JOIN sites s ON s.id = q.site_id WHERE next_fetch_at <= {AS_OF} AND (pages_fetched < 50 OR priority <= 1)), taken AS (SELECT id FROM sites SEMI JOIN (SELECT site_id AS id FROM best) b USING (id) WHERE status <> 'auth_gated' AND coalesce(last_seen, first_seen) <= {AS_OF} AND first_seen <= {AS_OF} QUALIFY row_number() OVER (ORDER BY pages_fetched = 0 DESC, coalesce(last_seen, first_seen), id) <= 20) SELECT s.id, CASE WHEN t.id IS NULL THEN first_seen ELSE {AS_OF} + to_seconds({state.LEASE_S}) END AS lease_until FROM sites s LEFT JOIN taken t ON t.id = s.id"),
+    "u_enqueue_queued": (lambda c: _enqueued_again(c), f"WITH found AS (SELECT dst_url AS url, bool_or(coalesce(anchor_text, '') <> '') AS queued FROM links l JOIN sites s ON s.id = l.dst_site_id WHERE is_onion AND s.pages_fetched < {state.PAGE_CAP} GROUP BY 1) SELECT url, CAST(CASE WHEN queued THEN 9 ELSE 3 END AS INTEGER) AS priority FROM found WHERE queued OR url NOT IN (SELECT url FROM pages)"),
+    "u_save_pages": (lambda c: _saved(c, "pages"), f"WITH {_CAUGHT} SELECT p.url, CASE WHEN k.url IS NULL THEN p.last_status ELSE 210 END AS last_status, k.url IS NOT NULL AND k.changed AS renewed FROM pages p LEFT JOIN caught k ON k.url = p.url UNION ALL SELECT url, 210, true FROM fresh"),
+    "u_save_versions": (lambda c: _saved(c, "versions"), f"WITH {_CAUGHT} SELECT sha256(text) AS h, count(*) AS n FROM (SELECT coalesce(text, '') AS text FROM page_versions UNION ALL SELECT text FROM caught WHERE changed UNION ALL SELECT 'new page' FROM fresh) GROUP BY 1"),
+    "u_save_links": (lambda c: _saved(c, "links"), f"WITH {_CAUGHT}, new_ AS (SELECT url, site_id FROM caught WHERE changed UNION ALL SELECT url, site_id FROM fresh) SELECT p.url AS src, l.dst_url AS dst, l.dst_site_id, l.is_onion, count(*) AS n FROM links l JOIN pages p ON p.id = l.src_page_id WHERE p.url NOT IN (SELECT url FROM new_) GROUP BY ALL UNION ALL SELECT url, 'http://home/', site_id, true, 1 FROM new_ UNION ALL SELECT url, 'https://clear.example/', NULL, false, 1 FROM new_"),
+    "u_save_entities": (lambda c: _saved(c, "entities"), f"WITH {_CAUGHT} SELECT kind, value, count(*) AS n FROM (SELECT kind, value FROM entities UNION ALL SELECT 'email', 'a@b.example' FROM caught WHERE changed UNION ALL SELECT 'email', 'a@b.example' FROM fresh) GROUP BY ALL"),
+    "u_save_sites": (lambda c: _saved(c, "sites"), f"WITH {_CAUGHT}, home AS (SELECT DISTINCT site_id FROM caught WHERE changed AND depth = 0 AND ends_with(url, '.onion/')) SELECT s.id, pages_fetched + 1 AS pages_fetched, CASE WHEN h.site_id IS NULL THEN s.title ELSE 'named' END AS title, CASE WHEN h.site_id IS NULL THEN s.server END AS server FROM sites s LEFT JOIN home h ON h.site_id = s.id"),
+    "u_mark_indexed": (lambda c: state.mark_indexed(c.pages.withColumn("indexed_version_id", F.lit(None).cast("long")), c.pages.where("depth = 1").select(F.col("id").alias("page_id"), F.col("current_version_id").alias("version_id"))).select("id", "indexed_version_id"), "SELECT id, CASE WHEN depth = 1 THEN current_version_id END AS indexed_version_id FROM pages"),
+    "u_liveness_stored": (lambda c: state.liveness(c.sites, c.since("7 DAYS"), stored=True).select("id", "status", "consecutive_failures", "last_ok"), f"""WITH l AS (SELECT s.id, s.first_seen, s.last_ok, coalesce(s.consecutive_failures, 0) AS held, f.ts, f.outcome, list_contains({list(fetching.ALIVE)}, f.outcome) AS alive FROM fetch_log f JOIN sites s ON s.id = f.site_id WHERE f.ts > {AS_OF} - INTERVAL 7 DAY),
+g AS (SELECT id, any_value(first_seen) AS first_seen, any_value(last_ok) AS last_ok, any_value(held) AS held, max((ts, outcome)) AS z, max(CASE WHEN alive THEN (ts, outcome) END) AS ok, list((ts, outcome)) AS rows_ FROM l GROUP BY id),
+k AS (SELECT *, ok IS NOT NULL AND ok = z AS up, CASE WHEN ok IS NULL THEN held + len(rows_) ELSE len(list_filter(rows_, lambda e: e > ok)) END AS fails, coalesce(ok[1], last_ok) AS answered_at FROM g)
+SELECT id, CASE WHEN up THEN 'up' WHEN z[2] = 'auth_required' THEN 'auth_gated' WHEN coalesce(answered_at, first_seen) < z[1] - INTERVAL 30 DAY THEN 'dead' WHEN z[2] = 'desc_not_found' THEN 'down' ELSE 'flaky' END AS status, CAST(CASE WHEN up THEN 0 ELSE fails END AS INTEGER) AS consecutive_failures, answered_at AS last_ok FROM k"""),
     "u_release": (lambda c: state.release(_queue(c)[0], c.since("1 DAY"), _as_of(c)).select("id", "next_allowed_at"), f"WITH d AS (SELECT site_id, max(CASE WHEN outcome IN ('ok', 'http_error') THEN 8 ELSE 32 END) AS wait FROM fetch_log WHERE ts > {AS_OF} - INTERVAL 1 DAY GROUP BY 1) SELECT s.id, CASE WHEN wait IS NULL THEN coalesce(s.last_seen, s.first_seen) ELSE {AS_OF} + to_seconds(wait) END AS next_allowed_at FROM sites s LEFT JOIN d ON d.site_id = s.id"),
     "u_finish": (lambda c: state.finish(_queue(c)[1], c.since("3 DAYS").select("url_hash", "outcome"), _as_of(c)).select("url", "next_fetch_at", "attempts"), f"WITH {_QUEUE}, d AS (SELECT url_hash, bool_or(outcome IN {_sql_list(fetching.TRANSIENT)}) AS again FROM fetch_log WHERE ts > {AS_OF} - INTERVAL 3 DAY GROUP BY 1) SELECT url, CASE WHEN again THEN {AS_OF} + to_seconds(1800 * pow(2, attempts)) ELSE next_fetch_at END AS next_fetch_at, CASE WHEN again THEN attempts + 1 ELSE attempts END AS attempts FROM q LEFT JOIN d USING (url_hash) WHERE again IS NULL OR again"),
-    "u_liveness": (lambda c: state.liveness(c.sites, c.log), _LIVE),
+    "u_liveness": (lambda c: state.liveness(c.sites, c.log), LIVE),
     "u_recheck": (lambda c: state.rechecks(*_queue(c), _as_of(c))[1].select("url", "site_id", "priority", "next_fetch_at"), f"WITH {_QUEUE}, home AS (SELECT 'http://' || onion || '.onion/' AS url, id AS site_id, 1 AS priority, {AS_OF} AS next_fetch_at FROM sites WHERE last_seen <= {AS_OF} AND status <> 'auth_gated') SELECT url, min(site_id) AS site_id, min(priority) AS priority, min(next_fetch_at) AS next_fetch_at FROM (SELECT url, site_id, priority, next_fetch_at FROM q UNION ALL SELECT * FROM home) GROUP BY 1"),
     "u_save_page": (lambda c: state.changed_versions(c.versions).select("id", "page_id"), "SELECT id, page_id FROM (SELECT id, page_id, text_hash, lag(text_hash) OVER w AS before, row_number() OVER w AS rn FROM page_versions WINDOW w AS (PARTITION BY page_id ORDER BY fetched_at, id)) WHERE rn = 1 OR text_hash IS DISTINCT FROM before"),
     "u_current_version": (lambda c: state.current_versions(c.versions), "SELECT page_id, max_by(id, (fetched_at, id)) AS current_version_id FROM page_versions GROUP BY 1"),
@@ -255,7 +262,7 @@ UNION ALL SELECT id, 'eth', lower(unnest(regexp_extract_all(text, '\b0x[a-fA-F0-
     "u_trim_capped": (lambda c: state.trim_capped(*_queue(c), cap=10).groupBy("site_id").agg(F.count("*").alias("n")), f"WITH {_QUEUE} SELECT site_id, count(*) AS n FROM q WHERE priority <= 1 OR site_id NOT IN (SELECT id FROM sites WHERE pages_fetched >= 10) GROUP BY 1"),
     "u_index_delta": (lambda c: state.index_delta(c.pages.withColumn("indexed_version_id", F.when(F.col("depth") > 0, F.col("current_version_id")))).select("id"), "SELECT id FROM pages WHERE depth = 0 AND current_version_id IS NOT NULL"),
     "u_gauges": (lambda c: state.gauges(*_queue(c), c.pages, _as_of(c)), f"SELECT 'crawler_sites' AS metric, status AS label, count(*) AS value FROM sites GROUP BY 2 UNION ALL SELECT 'crawler_frontier', 'total', count(*) FROM pages UNION ALL SELECT 'crawler_frontier', 'due', count(*) FROM pages WHERE last_fetched <= {AS_OF} UNION ALL SELECT 'crawler_pages', '', count(*) FROM pages"),
-    "u_route_purge": (lambda c: _routed(c), "SELECT DISTINCT p.site_id, 'filter' AS reason FROM page_versions v JOIN pages p ON p.id = v.page_id WHERE contains(lower(text), 'lantern')"),
+    "u_route_purge": (lambda c: _routed(c, "password list"), "SELECT DISTINCT p.site_id, 'filter' AS reason FROM page_versions v JOIN pages p ON p.id = v.page_id WHERE contains(lower(text), 'password list')"),
     "u_guard": (lambda c: c.pages.where(~terms.matches(c.spark, terms.Terms(["~kb"]), F.col("url"))).select("id"), "SELECT id FROM pages WHERE NOT contains(regexp_replace(lower(url), '[^\\p{L}\\p{Nd}]+', '', 'g'), 'kb')"),
     # search and metrics
     "q_search": (lambda c: _searched(c), None),
@@ -326,6 +333,42 @@ def _rates(c: Crawl) -> DataFrame:
     return metrics.rates(mine, ["outcome", "proxy"], 300).select("ts", "outcome", "proxy", F.round("rate", 9).alias("rate"))
 
 
+def _terms(c: Crawl) -> DataFrame:
+    t = terms.Terms(_TERMS)
+    return c.spark.createDataFrame([("phrase", x.strip()) for x in t.phrases] + [("part", x) for x in t.parts], "kind string, term string")
+
+
+def _enqueued_again(c: Crawl) -> DataFrame:
+    """The queue after all links to other pages are offered to it, those with a name being queued already."""
+    found = c.links.where("is_onion AND dst_site_id IS NOT NULL").join(c.sites.where(F.col("pages_fetched") < state.PAGE_CAP).select(F.col("id").alias("dst_site_id"), F.col("onion").alias("dst")), "dst_site_id")
+    each = found.groupBy(F.col("dst_url").alias("url")).agg(F.min("dst").alias("dst"), F.min("dst_site_id").alias("site_id"), F.max(F.coalesce("anchor_text", F.lit("")) != "").alias("queued"))
+    queue = each.where("queued").select(hashing.url_hash(F.col("url")).alias("url_hash"), "url", "site_id", F.lit(1).alias("depth"), F.lit(9).alias("priority"), _as_of(c).alias("next_fetch_at"), F.lit(0).alias("attempts"))
+    return state.enqueue(c.sites, queue, c.pages, each.select("url", "dst", F.lit(1).alias("depth"), F.lit(3).alias("priority")), _as_of(c)).select("url", "priority")
+
+
+def _saved(c: Crawl, name: str) -> DataFrame:
+    """Every current version captured again, those of deeper pages with a line more, and a new page of each site."""
+    at, links = _as_of(c), lambda onion_: F.array(F.struct(F.lit("http://home/").alias("url"), F.lit("home").alias("anchor"), onion_.alias("dst")), F.struct(F.lit("https://clear.example/").alias("url"), F.lit("clear").alias("anchor"), F.lit("").alias("dst")))
+    found = F.array(F.struct(F.lit("email").alias("kind"), F.lit("a@b.example").alias("value")), F.struct(F.lit("email").alias("kind"), F.lit("a@b.example").alias("value")))
+    v = c.versions.select(F.col("id").alias("current_version_id"), F.coalesce("text", F.lit("")).alias("text"))
+    onions = c.sites.select(F.col("id").alias("site_id"), "onion")
+    rest = lambda url, depth, text: (F.col("site_id"), url.alias("url"), depth.cast("int").alias("depth"), at.alias("fetched_at"), F.lit(210).alias("status"), F.lit("text/html").alias("content_type"), F.lit("").alias("server"), F.lit("named").alias("title"), text.alias("text"), F.lit(None).cast("binary").alias("html_hash"), F.lit(0).cast("long").alias("simhash"), links(F.col("onion")).alias("links"), found.alias("entities"))
+    again = c.pages.join(v, "current_version_id").join(onions, "site_id").select(*rest(F.col("url"), F.col("depth"), F.when(F.col("depth") <= 1, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text"))))
+    new = onions.select(*rest(F.concat(onion.home_url(F.col("onion")), F.lit("brand-new")), F.lit(1), F.lit("new page")))
+    tables = {"sites": c.sites, "pages": c.pages, "page_versions": c.versions.withColumn("html_hash", F.lit(None).cast("binary")), "links": c.links, "entities": c.entities}
+    t = state.save_pages(tables, again.unionByName(new))
+    if name == "pages":
+        last = c.versions.agg(F.max("id")).scalar()
+        return t["pages"].select("url", "last_status", F.coalesce(F.col("current_version_id") > last, F.lit(False)).alias("renewed"))
+    if name == "versions":
+        return t["page_versions"].groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).agg(F.count("*").alias("n"))
+    if name == "links":
+        return t["links"].join(t["pages"].select(F.col("id").alias("src_page_id"), F.col("url").alias("src")), "src_page_id").groupBy("src", F.col("dst_url").alias("dst"), "dst_site_id", "is_onion").agg(F.count("*").alias("n"))
+    if name == "entities":
+        return t["entities"].groupBy("kind", "value").agg(F.count("*").alias("n"))
+    return t["sites"].select("id", "pages_fetched", "title", "server")
+
+
 def _summed(c: Crawl) -> DataFrame:
     """Refused fetches per second and proxy, in steps of 15 minutes."""
     mine = metrics.from_log(c.log).where("metric = 'crawler_fetches_total'").where(metrics.matches("outcome", "=~", "content_type|too_large|sniff"))

@@ -35,6 +35,14 @@ def blocklist(spark: SparkSession, path: str, least: int = LEAST_HASHES) -> Data
     return found
 
 
+def gate(stored: DataFrame, source: str, least: int = LEAST_HASHES) -> int:
+    """The number of a source's hashes on the stored blocklist (md5, source); nothing may be crawled before there are enough."""
+    n = stored.where(F.col("source") == source).count()
+    if n < least:
+        raise BrokenList(f"{n} hashes of {source}, at least {least} are needed before a crawl")
+    return n
+
+
 def filter_terms(path: str) -> Terms:
     """The content filter's terms; a missing or empty file is an error."""
     return Terms.load(path)

@@ -40,9 +40,9 @@ def numbered(df: DataFrame, name: str, by: list) -> DataFrame:
     return parts.join(F.broadcast(offsets), "__p").withColumn(name, F.col("__m") + F.col("__offset")).drop("__p", "__m", "__offset")
 
 
-def allocate(old: DataFrame, new: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """new with ids after the largest of old, in a stable order."""
-    top = old.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
+def allocate(old: DataFrame, new: DataFrame, key: str, by: list[str], held: str | None = None) -> DataFrame:
+    """new with ids in the column key, after the largest of old (there in the column held, if it has another name), in a stable order."""
+    top = old.agg(F.coalesce(F.max(held or key), F.lit(0))).scalar()
     return numbered(new, key, by).withColumn(key, F.col(key) + top + 1)
 
 

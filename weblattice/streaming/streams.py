@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weblattice.functions.fetching import ALIVE, is_alive
 from weblattice.operators import predicates, search, state
+from weblattice.sources.snapshots import latest
 
 DELAY = "10 minutes"
 
@@ -121,14 +122,27 @@ def unblocked(log: DataFrame, sites: DataFrame, read_blocklist: Callable[[], Dat
 
 
 def indexer(folder: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that writes the postings of a batch of documents; doing a batch again overwrites it."""
+    """A batch function that writes the postings of a batch of documents and which pages it has; doing a batch again overwrites it.
+
+    A page that is indexed again stays in its old batches as well: index() reads it from the last one. Of several rows of a page in one batch the one of the
+    last version counts, or of the greatest text where there are no versions.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        search.inverted(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        order = [c for c in ("version_id", "title", "text") if c in batch.columns]
+        last = latest(batch, ["page_id"], order)
+        search.inverted(last).write.mode("overwrite").parquet(f"{folder}/postings/batch={number}")
+        last.select("page_id").write.mode("overwrite").parquet(f"{folder}/pages/batch={number}")
 
     return each
 
 
+def index(spark: SparkSession, folder: str) -> DataFrame:
+    """The postings that indexer() wrote, of each page those of its last batch; the last write wins, also one without any word."""
+    last = spark.read.parquet(f"{folder}/pages").groupBy("page_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{folder}/postings").join(last, ["page_id", "batch"], "left_semi").drop("batch")
+
+
 def periodic(job: Callable[[], None]) -> Callable[[DataFrame, int], None]:
     """A batch function that runs a whole batch job, for triggers such as ``processingTime='15 minutes'``."""
     return lambda _batch, _number: job()
