@@ -321,12 +321,31 @@ def test_leaks_equal_brute_force(spark, folder):
 
 
 def test_many_items_are_scanned_in_blocks(spark, folder, monkeypatch):
-    monkeypatch.setattr(p8_leaks, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(p8_leaks, "GROUP_CHARS", 300)
     items = [{"item_id": i, "text": prose(20)} for i in range(9)]
     d = folder(eval_items=items, documents=[{"doc_id": i["item_id"], "text": i["text"]} for i in items])
     assert {tuple(r) for r in p8_leaks.p8_found(spark, d).collect()} == {(i, i) for i in range(9)}
 
 
+def test_runs_equal_brute_force_on_words_that_come_again():
+    own, few = random.Random(4), ["kel", "nor", "fen"]  # of so few words blocks are met at many places, also of one item
+    items = [(i, " ".join(own.choice(few) for _ in range(own.randrange(10, 60)))) for i in range(25)]
+    found = p8_leaks.Items(items)
+    runs = {i: {tuple(t.split()[k : k + 13]) for k in range(len(t.split()) - 12)} for i, t in items}
+    some = 0
+    for _ in range(120):
+        source = own.choice(items)[1].split()
+        a = own.randrange(len(source))
+        w = [*(own.choice(few) for _ in range(own.randrange(9))), *source[a : a + own.randrange(11, 18)], *(own.choice(few) for _ in range(own.randrange(9)))]
+        mine = {tuple(w[k : k + 13]): k for k in range(len(w) - 12)}
+        want = {i for i, r in runs.items() if r & set(mine)}
+        assert {i for i, _, _ in found.runs(" ".join(w))} == want
+        for i, first, last in found.runs(" ".join(w)):
+            assert " ".join(w[first : last + 1]) in " ".join(dict(items)[i].split()) and last - first >= 12
+        some += bool(want)
+    assert 20 < some < 120
+
+
 # ---- 9
 
 

@@ -1,7 +1,9 @@
 """Problem 8: evaluation passages inside documents.
 
-One Aho-Corasick automaton over the word sequences of all test items (every run of RUN words is a
-pattern) is built on each worker from the broadcast items and passes once over each text.
+One Aho-Corasick automaton passes once over the words of each text. Its patterns are the items' blocks of BLOCK words, one after the
+other: of RUN words in a row some whole block is always a part, as RUN is at least twice BLOCK less one. Where a block is met, the agreement
+is followed in both directions; RUN words or more are a leak. So the automaton has about one node for each word of the items,
+where all runs of RUN words as patterns would need RUN of them. Offsets are mapped to the original text.
 """
 
 from __future__ import annotations
@@ -14,55 +16,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weblattice.llm.words import WORD, plain, words
+from weblattice.session import cut
 from weblattice.sources.tables import spread, table
 
 RUN = 13
-#: Items are broadcast in blocks of at most so many characters; more items mean more passes, never a larger broadcast.
-BLOCK_CHARS = 4_000_000
+BLOCK = (RUN + 1) // 2
+#: Items are broadcast in groups of at most so many characters, one group at a time: an automaton of some 0.2 GB. More items mean more
+#: passes over the documents, never a larger broadcast.
+GROUP_CHARS = 16_000_000
 _built: dict = {}
 
 
 class Items:
-    """The automaton of one block of items. Words are numbers in it; 0 is any word that no item has."""
+    """The automaton of one group of items. Words are numbers in it; 0 is any word that no item has."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.number: dict[str, int] = {}
-        runs: dict[tuple, set] = {}
-        for item, text in items:
+        self.ids: list[int] = []
+        self.words: list[list[int]] = []
+        places: dict[tuple, list[tuple[int, int]]] = {}
+        for item, text in dict.fromkeys(items):
             w = [self.number.setdefault(x, len(self.number) + 1) for x in words(text)]
-            for i in range(len(w) - RUN + 1):
-                runs.setdefault(tuple(w[i : i + RUN]), set()).add(item)
+            if len(w) < RUN:
+                continue
+            for i in range(0, len(w) - BLOCK + 1, BLOCK):
+                places.setdefault(tuple(w[i : i + BLOCK]), []).append((len(self.ids), i))
+            self.ids.append(item)
+            self.words.append(w)
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for run, owners in runs.items():
-            self.machine.add_word(run, tuple(sorted(owners)))
-        self.empty = not runs
+        for block, where in places.items():
+            self.machine.add_word(block, tuple(where))
+        self.empty = not places
         if not self.empty:
             self.machine.make_automaton()
 
-    def hits(self, text: str):
-        """(index of the last word of a run, items that have the run)."""
+    def runs(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(item, first, last): the longest runs of at least RUN words, as indexes of the text's words; an item may have several."""
         if self.empty:
-            return []
+            return
         get = self.number.get
-        return self.machine.iter(tuple([get(w, 0) for w in words(text)]))
+        w = tuple([get(x, 0) for x in words(text)])
+        done: dict[tuple[int, int], int] = {}  # the end of the last run on a diagonal: its blocks need not be followed again
+        for end, where in self.machine.iter(w):
+            start = end - BLOCK + 1
+            for k, at in where:
+                if done.get((k, start - at), -1) >= end:
+                    continue
+                own = self.words[k]
+                a, i = start, at
+                while a and i and w[a - 1] == own[i - 1]:
+                    a, i = a - 1, i - 1
+                z, j = end + 1, at + BLOCK
+                while z < len(w) and j < len(own) and w[z] == own[j]:
+                    z, j = z + 1, j + 1
+                done[k, start - at] = z - 1
+                if z - a >= RUN:
+                    yield self.ids[k], a, z - 1
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, first, last) in characters of the text; overlapping runs of an item are one span."""
-        open_: dict[int, list[int]] = {}
-        done = []
-        for end, owners in self.hits(text):
-            for item in owners:
-                if item in open_ and end - RUN + 1 <= open_[item][1] + 1:
-                    open_[item][1] = end
-                else:
-                    if item in open_:
-                        done.append((item, *open_[item]))
-                    open_[item] = [end - RUN + 1, end]
-        done += [(item, *x) for item, x in open_.items()]
-        if not done:
+        """(item, first, last) in characters of the text; runs of an item that overlap or touch are one span."""
+        found: list[list[int]] = []
+        for item, a, z in sorted(self.runs(text)):
+            if found and found[-1][0] == item and a <= found[-1][2] + 1:
+                found[-1][2] = max(found[-1][2], z)
+            else:
+                found.append([item, a, z])
+        if not found:
             return []
         at = [m.span() for m in WORD.finditer(plain(text))]
-        return sorted((item, at[i][0], at[j][1]) for item, i, j in done)
+        return [(item, at[a][0], at[z][1]) for item, a, z in found]
 
 
 def _automaton(key, items) -> Items:
@@ -72,45 +94,57 @@ def _automaton(key, items) -> Items:
     return _built[key]
 
 
-def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size; items that are null or shorter than RUN words match nothing and are left out."""
-    block, size = [], 0
+def groups(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in groups of bounded size; items that are null or shorter than RUN words match nothing and are left out."""
+    group, size = [], 0
     for r in items.select("item_id", "text").dropna().orderBy("item_id").toLocalIterator():
-        if block and size + len(r.text) > BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-        block.append((r.item_id, r.text))
+        if group and size + len(r.text) > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+        group.append((r.item_id, r.text))
         size += len(r.text)
-    if block:
-        yield block
+    if group:
+        yield group
+
+
+_SPANS = "doc_id long, item_id long, start int, stop int, passage string"
+
+
+def _scanned(docs: DataFrame, shared, spans: bool) -> DataFrame:
+    token = uuid.uuid4().hex
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _automaton(token, shared.value)
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if spans:
+                    rows += [(doc, item, a, z, text[a:z]) for item, a, z in found.spans(text)]
+                else:
+                    rows += [(doc, item) for item in {item for item, _, _ in found.runs(text)}]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())[: 5 if spans else 2]
+            cols = list(zip(*rows)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [c.split()[0] for c in _SPANS.split(", ")][: len(kinds)])
+
+    return spread(docs.where("text IS NOT NULL").select("doc_id", "text")).mapInArrow(scan, _SPANS if spans else "doc_id long, item_id long")
 
 
 def leaks(docs: DataFrame, items: DataFrame, spans: bool = False) -> DataFrame:
-    """(doc_id, item_id), or with spans (doc_id, item_id, start, stop) in characters, for documents that hold RUN or more consecutive words of an item."""
-    schema = "doc_id long, item_id long, start int, stop int" if spans else "doc_id long, item_id long"
-    out = None
-    for block in blocks(items):
-        shared, token = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
-
-        def scan(batches, shared=shared, token=token):
-            found = _automaton(token, shared.value)
-            for batch in batches:
-                cols: list[list] = [[], [], [], []]
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if spans:
-                        for row in found.spans(text):
-                            for c, v in zip(cols, (doc, *row)):
-                                c.append(v)
-                    else:
-                        for item in {i for _, owners in found.hits(text) for i in owners}:
-                            cols[0].append(doc)
-                            cols[1].append(item)
-                arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())] + ([pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())] if spans else [])
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "start", "stop"][: len(arrays)])
-
-        part = spread(docs.where("text IS NOT NULL").select("doc_id", "text")).mapInArrow(scan, schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    """(doc_id, item_id), or with spans (doc_id, item_id, start, stop, passage) by characters, for documents that hold RUN or more consecutive words of an item.
+
+    One group of items is one pass. Of more groups each is finished, written to the shared folder and taken off the executors before the next is sent.
+    """
+    context, out, last = docs.sparkSession.sparkContext, None, None
+    for group in groups(items):
+        if last is not None:
+            part, shared = cut(last[0]), last[1]
+            shared.destroy()
+            out = part if out is None else out.unionByName(part)
+        shared = context.broadcast(group)
+        last = _scanned(docs, shared, spans), shared
+    if last is None:
+        return docs.sparkSession.createDataFrame([], _SPANS if spans else "doc_id long, item_id long")
+    return last[0] if out is None else out.unionByName(last[0])
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -120,9 +154,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     """The leaked passages, with offsets in the original text and the passage itself."""
-    docs = table(spark, d, "documents", "doc_id", "text")
-    found = leaks(docs, table(spark, d, "eval_items", "item_id", "text"), spans=True)
-    return found.join(docs, "doc_id").select("doc_id", "item_id", "start", "stop", F.expr("substring(text, start + 1, stop - start)").alias("passage"))
+    return leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"), spans=True)
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
