@@ -165,13 +165,21 @@ class Residue:
         notice, prose = (_covered(len(b), np.flatnonzero(x)) for x in (m > NOTICE_RATIO, m < PROSE_RATIO))
         return notice, prose & ~notice
 
-    def is_notice(self, text: str, b: np.ndarray, coverage: float = COVERAGE) -> bool:
-        """Whether notices cover the text, what stands in neither kind of window left aside."""
+    def notice_shares(self, text: str, b: np.ndarray) -> tuple[float, float, tuple]:
+        """(share of the text in notices, in natural prose, the characters of either); nothing for a text of too few letters."""
         if next(islice(filter(str.isalpha, text), LEAST_LETTERS - 1, None), None) is None:
-            return False
-        notice, prose = (float(x.mean()) for x in self.covered(b))
+            return 0.0, 0.0, ()
+        of = self.covered(b)
+        return float(of[0].mean()), float(of[1].mean()), of
+
+    @staticmethod
+    def covers(notice: float, prose: float, coverage: float = COVERAGE) -> bool:
+        """Whether notices cover a text, what stands in neither kind of window left aside."""
         return notice >= LEAST_NOTICE and notice >= coverage * (notice + prose)
 
+    def is_notice(self, text: str, b: np.ndarray) -> bool:
+        return self.covers(*self.notice_shares(text, b)[:2])
+
     def residue(self, title: str | None, text: str | None) -> str:
         """"filler", "notice" or ""."""
         if title and self.filler_spans(title, buckets(skeleton(title))):
@@ -185,24 +193,33 @@ class Residue:
         """(buckets of the lines that are natural, of the text if it is a notice, of the lines that are filler)."""
         b = buckets(skeleton(text))
         none = b[:0]
-        if not len(b) or self.is_notice(text, b):
-            return none, b if len(b) and self.is_notice(text, b, LEARN_COVERAGE) else none, none
+        if not len(b):
+            return none, none, none
+        notice, prose, of = self.notice_shares(text, b)
+        if self.covers(notice, prose):
+            return none, b if self.covers(notice, prose, LEARN_COVERAGE) else none, none
         size = np.fromiter(map(len, text.split("\n")), np.int64) + 1
         size[-1] -= 1
         if not size[-1]:
             size = size[:-1]
         starts = np.concatenate(([0], np.cumsum(size)[:-1]))
-        notice, prose = (np.add.reduceat(x.astype(np.int32), starts) / size for x in self.covered(b))
+        speaks = np.add.reduceat(self.mention[b], starts) / size
+        natural = speaks <= NATURAL_MENTION
+        if of and of[0].any():
+            notice, prose = (np.add.reduceat(x.astype(np.int32), starts) / size for x in of)
+            natural &= ~((notice >= LEAST_NOTICE) & (notice >= 0.5 * (notice + prose)))
+        filler = none
         m = _window_means(self.filler[b])
-        sure = np.full(len(b), m[0] > FILLER_RATIO) if len(b) <= WINDOW else _covered(len(b), np.flatnonzero(m > FILLER_RATIO))
-        sure = np.add.reduceat(sure.astype(np.int32), starts) >= LEARN_COVERAGE * size
-        filler = np.full(len(b), m[0] > NATURAL_FILLER) if len(b) <= WINDOW else _covered(len(b), np.flatnonzero(m > NATURAL_FILLER))
+        if m.max() > NATURAL_FILLER:
+            where = lambda least: np.full(len(b), m[0] > least) if len(b) <= WINDOW else _covered(len(b), np.flatnonzero(m > least))
+            sure = np.add.reduceat(where(FILLER_RATIO).astype(np.int32), starts) >= LEARN_COVERAGE * size
+            filler = b[np.repeat(sure & (speaks <= NATURAL_MENTION), size)]
+            natural &= ~np.logical_or.reduceat(where(NATURAL_FILLER), starts)
         if _HINT.search(text):
             for found in CANDIDATE.finditer(text):
-                filler[found.start() : found.end()] = True
-        speaks = np.add.reduceat(self.mention[b], starts) / size
-        natural = ~np.logical_or.reduceat(filler, starts) & ~((notice >= LEAST_NOTICE) & (notice >= 0.5 * (notice + prose))) & (speaks <= NATURAL_MENTION)
-        return b[np.repeat(natural, size)], none, b[np.repeat(sure & (speaks <= NATURAL_MENTION), size)]
+                first, last = np.searchsorted(starts, (found.start(), found.end() - 1), side="right") - 1
+                natural[first : last + 1] = False
+        return b[np.repeat(natural, size)], none, filler
 
 
 _HINT = re.compile(r"[{}<%\[]|__|@@|NaN|null|undefined")
