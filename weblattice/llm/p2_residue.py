@@ -115,12 +115,12 @@ def _masked_counts(texts) -> np.ndarray:
     return out
 
 
-def _covered(size: int, at: np.ndarray) -> np.ndarray:
-    """Which of so many characters are in one of the windows that begin at these places."""
-    edge = np.zeros(size + WINDOW + 1, np.int32)
-    edge[at] += 1
-    edge[at + WINDOW] -= 1
-    return np.cumsum(edge)[:size] > 0
+def _covered(size: int, over: np.ndarray) -> np.ndarray:
+    """Which of so many characters are in a window that is over; there is a window for each place where one fits."""
+    before = np.zeros(len(over) + 1, np.int32)
+    np.cumsum(over, out=before[1:])
+    upto = np.concatenate((before[1:], np.full(size - len(over), before[-1])))
+    return upto > np.concatenate((np.zeros(WINDOW - 1, np.int32), before[:-1]))
 
 
 class Residue:
@@ -151,19 +151,23 @@ class Residue:
     def filler_spans(self, text: str, b: np.ndarray) -> list[tuple[int, int]]:
         """Where filler and placeholders stand that their sentence doesn't speak of; b are the text's buckets."""
         spans = [m.span() for m in CANDIDATE.finditer(text) if self.is_placeholder(text, *m.span())] if _HINT.search(text) else []
-        over = np.flatnonzero(_window_means(self.filler[b]) > FILLER_RATIO)
-        if len(over):
+        m = _window_means(self.filler[b])
+        if m.max() > FILLER_RATIO:
+            over = np.flatnonzero(m > FILLER_RATIO)
             for part in np.split(over, np.flatnonzero(np.diff(over) > WINDOW) + 1):
                 spans.append((int(part[0]), min(len(text), int(part[-1]) + WINDOW)))
         return [s for s in spans if not self.speaks(text, *s)]
 
     def covered(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which characters are in windows of a notice, and which in windows of natural prose only."""
+        """Which characters are in windows of a notice, and which in windows of natural prose only; the latter aren't looked for where there are none of the former."""
         m = _window_means(self.notice[b])
         if len(b) <= WINDOW:
             return np.full(len(b), m[0] > NOTICE_RATIO), np.full(len(b), m[0] < PROSE_RATIO)
-        notice, prose = (_covered(len(b), np.flatnonzero(x)) for x in (m > NOTICE_RATIO, m < PROSE_RATIO))
-        return notice, prose & ~notice
+        over = m > NOTICE_RATIO
+        if not over.any():  # as in most texts: then what is prose doesn't matter
+            return (np.zeros(len(b), bool),) * 2
+        notice = _covered(len(b), over)
+        return notice, _covered(len(b), m < PROSE_RATIO) & ~notice
 
     def notice_shares(self, text: str, b: np.ndarray) -> tuple[float, float, tuple]:
         """(share of the text in notices, in natural prose, the characters of either); nothing for a text of too few letters."""
@@ -211,7 +215,7 @@ class Residue:
         filler = none
         m = _window_means(self.filler[b])
         if m.max() > NATURAL_FILLER:
-            where = lambda least: np.full(len(b), m[0] > least) if len(b) <= WINDOW else _covered(len(b), np.flatnonzero(m > least))
+            where = lambda least: np.full(len(b), m[0] > least) if len(b) <= WINDOW else _covered(len(b), m > least)
             sure = np.add.reduceat(where(FILLER_RATIO).astype(np.int32), starts) >= LEARN_COVERAGE * size
             filler = b[np.repeat(sure & (speaks <= NATURAL_MENTION), size)]
             natural &= ~np.logical_or.reduceat(where(NATURAL_FILLER), starts)
