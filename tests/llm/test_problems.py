@@ -110,6 +110,18 @@ def test_residue_of_any_length(samples):
     assert r.residue(None, "{{ never closed " * 5000) == ""
 
 
+def test_statuses_tell_a_keepers_notice_from_a_servers(spark, folder, samples, monkeypatch):
+    monkeypatch.setattr(p2_residue, "NATURAL_WEIGHT", 1.5e4)  # as if the corpus were a hundred times as large
+    natural = [t for _, t in samples]
+    # (text, rows, every so many-th of which is an error): keepers' notices, servers' notices, and a few odd copies that resemble either
+    kinds = [("Closed for the season. Thank you all.", 240, 20), ("We have moved, see the new mirror.", 240, 20), ("Too many requests from your circuit. Limit 9 per hour reached.", 120, 4), ("404 Not Found\nThe requested URL was not found on this server.", 200, 4)]
+    kinds += [*((t, 20, 20) for t in natural[:30]), *((t, 4, 20) for t in ("0 for the season. Thank you 0", "0 FOR THE SEASON. THANK YOU ALL.", "0 for the 0 Thank you all.", "119 have moved, see the new 74", "580 have moved, see the 62 mirror.", "WE HAVE MOVED, SEE THE 160 Bukpimzar"))]
+    rows = [(t, 503 if k % every == every - 1 else 200) for t, n, every in kinds for k in range(n)]
+    d = folder(page_versions=[{"id": i, "page_id": i, "text": t, "http_status": s} for i, (t, s) in enumerate(rows)], lang_samples=[{"sample_id": i, "lang": lang, "text": t} for i, (lang, t) in enumerate(samples)])
+    found = {r.version_id for r in p2_residue.p2_found(spark, d).collect()}
+    assert {i for i in found if i < 1400} == set(range(480, 800))
+
+
 # ---- 3
 
 

@@ -2,7 +2,8 @@
 
 Character n-gram models of filler, of placeholders, of notices, of prose that speaks of any of them and of natural prose are fitted on
 seeds from public knowledge. A first fit sorts the texts and lines of the whole corpus; those it finds natural, and the
-texts it finds to be notices, are counted, and the models are fitted again with these counts. The log-likelihood ratio to natural prose
+texts it finds to be notices, are counted, and the models are fitted again with these counts. HTTP statuses correct the first fit: an
+n-gram whose rows answer with errors no more often than other rows do is no notice's. The log-likelihood ratio to natural prose
 is summed over windows: filler is residue wherever a window of it stands and its sentence doesn't speak of it; a
 notice excludes a text that it covers.
 """
@@ -36,8 +37,12 @@ LEAST_LETTERS = 6
 MENTION_RATIO = 0.0
 #: Mean ratio of a candidate from which it is a placeholder; characters before and after a value that are seen with it.
 PLACE_RATIO, PLACE_AROUND = 0.5, 12
-#: Share of a text that notices must cover, and of a line that filler must cover, for their n-grams to be counted as such.
-LEARN_COVERAGE = 0.9
+#: Share of a text that notices must cover, and of a line that filler must cover, for their n-grams to be counted as such; from the lesser
+#: share on a text may be a notice, and its statuses tell.
+LEARN_COVERAGE, DOUBT_COVERAGE = 0.9, 0.5
+#: From this status on a row is an error; log odds that a text is a notice which the first fit is sure of, as far as statuses don't tell;
+#: how much less a row tells than if all were independent.
+ERROR_STATUS, SURE_ODDS, STATUS_PART = 400, 3.0, 0.5
 #: Mean ratios of a line, and of a window of it, from which it is not counted as natural prose.
 NATURAL_MENTION, NATURAL_FILLER = 0.3, 1.0
 
@@ -193,15 +198,15 @@ class Residue:
         b = buckets(skeleton(text))
         return "filler" if self.filler_spans(text, b) else "notice" if self.is_notice(text, b) else ""
 
-    def sorted_buckets(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(buckets of the lines that are natural, of the text if it is a notice, of the lines that are filler)."""
+    def sorted_buckets(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(buckets of the lines that are natural, of the text if it is a notice, of the text if it may be one, of the lines that are filler)."""
         b = buckets(skeleton(text))
         none = b[:0]
         if not len(b):
-            return none, none, none
+            return none, none, none, none
         notice, prose, of = self.notice_shares(text, b)
-        if self.covers(notice, prose):
-            return none, b if self.covers(notice, prose, LEARN_COVERAGE) else none, none
+        if self.covers(notice, prose, DOUBT_COVERAGE):
+            return (none, b, none, none) if self.covers(notice, prose, LEARN_COVERAGE) else (none, none, b, none)
         size = np.fromiter(map(len, text.split("\n")), np.int64) + 1
         size[-1] -= 1
         if not size[-1]:
@@ -223,19 +228,24 @@ class Residue:
             for found in CANDIDATE.finditer(text):
                 first, last = np.searchsorted(starts, (found.start(), found.end() - 1), side="right") - 1
                 natural[first : last + 1] = False
-        return b[np.repeat(natural, size)], none, filler
+        return b[np.repeat(natural, size)], none, none, filler
 
 
 _HINT = re.compile(r"[{}<%\[]|__|@@|NaN|null|undefined")
 
 
-def fit(samples: list[str], natural: np.ndarray | None = None, notices: np.ndarray | None = None, fillers: np.ndarray | None = None) -> Residue:
-    """From the seeds and the labelled clean samples, and from the n-grams of the corpus that a first fit found to be natural, notices or filler."""
+def fit(samples: list[str], natural: np.ndarray | None = None, notices: np.ndarray | None = None, fillers: np.ndarray | None = None, denied: np.ndarray | None = None) -> Residue:
+    """From the seeds and the labelled clean samples, and from the n-grams of the corpus that a first fit found to be natural, notices or filler.
+
+    denied: n-grams of texts that were taken for notices, which their statuses deny; as they are few they count in full.
+    """
     filler, notice, mention = _counts(FILLER), _counts(NOTICE), _counts(MENTION)
     content = _counts(CONTENT) * 4 + _counts(samples)
     part = 1.0
     if natural is not None and natural.any():
         content, part = content + natural * min(1.0, NATURAL_WEIGHT / natural.sum()), 0.5
+    if denied is not None and denied.any():
+        content = content + denied * min(1.0, NATURAL_WEIGHT / denied.sum())
     if notices is not None and notices.any():
         notice = notice + notices * min(1.0, FOUND_WEIGHT * notice.sum() / notices.sum())
     if fillers is not None and fillers.any():
@@ -244,36 +254,63 @@ def fit(samples: list[str], natural: np.ndarray | None = None, notices: np.ndarr
     return Residue(_ratio(filler, content + notice + mention), _ratio(notice, content + filler + mention * part), _ratio(mention, content), place)
 
 
-_CLASSES = ("natural", "notice", "filler")
+def by_status(natural: np.ndarray, notice: np.ndarray, doubt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams of notices, n-grams of texts that statuses deny to be notices), from (2, BUCKETS) counts in rows without and with an error.
+
+    Notices answer with errors more often than other rows do, though mostly they don't. How often either does is taken from the texts that
+    the first fit is sure of. Rows tell by their log-likelihood ratio whether an n-gram is a notice's: for texts in doubt those that may be
+    notices, for the others all rows, as a few odd texts make no notice of what is natural in many. Where there are few rows the first fit's
+    word counts, and texts in doubt count for neither.
+    """
+    rate = lambda c: (c[1].sum() + 1) / (c.sum() + 20)
+    often, seldom = rate(notice), rate(natural)
+
+    def told(rows: np.ndarray, odds: float) -> np.ndarray:
+        ratio = STATUS_PART * (rows[1] * np.log(often / seldom) + rows[0] * np.log((1 - often) / (1 - seldom))) if often > seldom else 0.0
+        return 1 / (1 + np.exp(-np.clip(ratio + odds, -30, 30)))
+
+    sure, unsure = told(natural + notice + doubt, SURE_ODDS), 2 * told(notice + doubt, 0.0) - 1
+    of, may = notice.sum(0), doubt.sum(0)
+    return of * sure + may * np.maximum(0.0, unsure), may * np.maximum(0.0, -unsure)
+
+
+_CLASSES = ("natural", "notice", "doubt", "filler")
 
 
 def corpus_counts(rows: DataFrame, first: Residue) -> DataFrame:
-    """(bucket, natural, notice, filler): n-grams of all natural lines, all notices and all filler lines in rows (text); a row per bucket at most."""
+    """(bucket, failed, natural, notice, doubt, filler): n-grams of all natural lines, all notices, all that may be one and all filler lines in rows (text, failed); two rows per bucket at most."""
     shared = rows.sparkSession.sparkContext.broadcast(first)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, BUCKETS), np.int64)
+        total = np.zeros((2, len(_CLASSES), BUCKETS), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                parts = [shared.value.sorted_buckets(t) for t in batch.column(0).slice(at, 256).to_pylist() if t]
-                for k in range(3):
-                    if any(len(p[k]) for p in parts):
-                        total[k] += np.bincount(np.concatenate([p[k] for p in parts]), minlength=BUCKETS)
-        used = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[0][used]), pa.array(total[1][used]), pa.array(total[2][used])], ["bucket", *_CLASSES])
+                part = batch.slice(at, 256)
+                sorted_ = [(bool(failed), shared.value.sorted_buckets(t)) for t, failed in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if t]
+                for failed in (False, True):
+                    for k in range(len(_CLASSES)):
+                        of = [p[k] for f, p in sorted_ if f == failed and len(p[k])]
+                        if of:
+                            total[int(failed), k] += np.bincount(np.concatenate(of), minlength=BUCKETS)
+        for failed in (False, True):
+            used = np.flatnonzero(total[int(failed)].any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), failed)), *(pa.array(c[used]) for c in total[int(failed)])], ["bucket", "failed", *_CLASSES])
 
-    each = spread(rows).mapInArrow(count, "bucket int, natural long, notice long, filler long")
-    return each.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in _CLASSES])
+    each = spread(rows).mapInArrow(count, "bucket int, failed boolean, " + ", ".join(f"{c} long" for c in _CLASSES))
+    return each.groupBy("bucket", "failed").agg(*[F.sum(c).alias(c) for c in _CLASSES])
 
 
 def fitted(spark: SparkSession, d: str) -> Residue:
     samples = [text for _, text in labelled(spark, d)]
     first = fit(samples)
-    got = corpus_counts(table(spark, d, "page_versions", "text").where("text IS NOT NULL"), first).toPandas()
-    counts = np.zeros((3, BUCKETS))
+    rows = table(spark, d, "page_versions", "text", "http_status").where("text IS NOT NULL")
+    got = corpus_counts(rows.select("text", F.coalesce(F.col("http_status") >= ERROR_STATUS, F.lit(False)).alias("failed")), first).toPandas()
+    counts = np.zeros((len(_CLASSES), 2, BUCKETS))
     for k, c in enumerate(_CLASSES):
-        counts[k][got["bucket"]] = got[c]
-    return fit(samples, *counts)
+        counts[k][got["failed"].astype(int), got["bucket"]] = got[c]
+    natural, notice, doubt, filler = counts
+    notices, denied = by_status(natural, notice, doubt)
+    return fit(samples, natural.sum(0), notices, filler.sum(0), denied)
 
 
 def classified(spark: SparkSession, d: str) -> DataFrame:
