@@ -80,6 +80,19 @@ def test_twice_damaged(repair):
     assert repair.damaged(twice) and repair.damaged(bad)
 
 
+def test_every_spelling_of_the_corpus_is_counted(spark, folder, samples, monkeypatch):
+    monkeypatch.setattr(p1_charsets, "SPELLINGS", 3, raising=False)
+    texts = [t for _, t in samples]
+    corpus = [t.replace("a", "ä") for t in texts[:60]] + ["réseau".encode().decode("cp1252") + " alone", "a rare naïve\nword", None]
+    d = folder(page_versions=[{"id": i, "page_id": i, "text": t} for i, t in enumerate(corpus)], lang_samples=[{"sample_id": i, "lang": lang, "text": t} for i, (lang, t) in enumerate(samples)])
+    got, want = p1_charsets.fitted(spark, d), p1_charsets.fit(texts, corpus)
+    for part in ("tri", "tri_n", "bi", "bi_n", "uni"):
+        assert +getattr(got.model, part) == +getattr(want.model, part)
+    assert (got.margin, got.model.words, got.model.total) == (want.margin, want.model.words, want.model.total)
+    for w in {w for t in (*texts, *corpus) if t for w in t.split()}:
+        assert got.model.lexicon[" " + got.model.key(w)] == want.model.lexicon[" " + want.model.key(w)]
+
+
 # ---- 2
 
 
