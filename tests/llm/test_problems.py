@@ -295,6 +295,12 @@ def test_a_line_that_is_common_elsewhere_too_goes_by_its_counts(spark, folder):
     assert found == {(i, 2) for i, (s, has) in enumerate(placed) if has and s == 2}
 
 
+def test_no_stage_without_effect_runs_for_repeated_lines(spark, folder, monkeypatch):
+    monkeypatch.setattr(p6_lines, "excess_lines", None)  # its cut could drop no line of the definition
+    d = folder(pages=[{"id": i, "site_id": 1} for i in range(1, 8)], page_versions=[{"id": i, "page_id": i, "text": prose(3) + "\nFooter"} for i in range(1, 8)])
+    assert {(r.version_id, r.line_no) for r in p6_lines.p6_found(spark, d).collect()} == {(i, 2) for i in range(1, 8)}
+
+
 def test_the_false_discovery_rate_decides_what_is_excess(spark):
     own = random.Random(5)
     pages = [(i, 1 + i % 20) for i in range(2000)]
