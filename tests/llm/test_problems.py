@@ -267,6 +267,12 @@ def test_spam_lists_of_longer_lines_and_of_link_names(spark, folder, samples):
     assert {r.page_id for r in p5_spam.p5_found(spark, d).collect()} == {1, 2, 3}
 
 
+def test_all_samples_calibrate(spark, folder, monkeypatch):
+    monkeypatch.setattr(p5_spam, "Calibration", sorted)
+    rows = [("en", f"sample {i}") for i in range(1300)]
+    assert p5_spam.fitted(spark, folder(lang_samples=[{"sample_id": i, "lang": lang, "text": t} for i, (lang, t) in enumerate(rows)])) == sorted(rows)
+
+
 # ---- 6
 
 
